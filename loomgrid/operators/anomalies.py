@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgrid.session import stage
+
 #: Points of the distribution read from a source's sketch; every half percent.
 _GRID = [i / 200 for i in range(201)]
 
@@ -94,36 +96,43 @@ def implausible(
 
     Distribution: deliveries are reduced to current readings with partial aggregation, after which a source
     has one row per calendar day, however many rows were delivered; sequences are windows over those. Sketches
-    merge by partial aggregation. Deliveries rejoin their day by (source, day).
+    merge by partial aggregation. Replaced deliveries rejoin by (source, day) only the days with a case or with
+    differing deliveries.
 
     Nulls: a null, NaN or non-positive reading has no logarithm; it is no spike and the next usable reading
-    stands in for it as a neighbour. A null ends a frozen run. A null key is a source of its own; rows with a
-    null day or null row_id are judged for impossibility only / left out. A row delivered twice comes out
-    twice. Empty in, empty out. Other columns are ignored.
+    stands in for it as a neighbour. A null ends a frozen run. A null key is a source of its own. Rows with a
+    null day are judged for impossibility only; rows with a null row_id are left out. One row per row_id comes out,
+    however often it was delivered. Empty in, empty out. Other columns are ignored.
     """
     r = rules or Rules()
     keys, series = list(keys), r.series
     kn = [f"_k{i}" for i in range(len(keys))]
+    context = [f"_c{i}" for i in range(len(r.context))]
+
+    def key(c: str) -> Column:
+        """Never null, so that joins keep the partitioning of the windows."""
+        return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+
     rows = readings.where(F.col(row_id).isNotNull()).select(
-        *[F.col(k).alias(n) for k, n in zip(keys, kn)],
+        *[key(k).alias(n) for k, n in zip(keys, kn)],
         F.datediff(F.to_date(F.col(day)), F.lit("1970-01-01").cast("date")).alias("_n"),
         F.col(row_id).alias("_id"),
         F.coalesce(impossible, F.lit(False)).alias("_impossible"),
         *[F.col(s).cast("double").alias(s) for s in series],
-        *[_log(F.col(s).cast("double")).alias(f"_x_{s}") for s in [*r.rated, *r.fenced]],
-        *[F.col(c).alias(f"_c{i}") for i, c in enumerate(r.context)],
+        *[key(c).alias(n) for c, n in zip(r.context, context)],
         F.struct(*[c.alias(f"o{i}") for i, c in enumerate(latest)]).alias("_o"),
     )
-    context = [f"_c{i}" for i in range(len(r.context))]
-    current = rows.where(F.col("_n").isNotNull()).groupBy(*kn, "_n").agg(F.max(F.struct("_o", *series, *context)).alias("_b")).select(*kn, "_n", *[F.col(f"_b.{s}").alias(s) for s in [*series, *context]])
+    values = F.struct(*series)
+    bars = rows.where(F.col("_n").isNotNull()).groupBy(*kn, "_n").agg(F.max(F.struct("_o", *series, *context, "_id")).alias("_b"), F.min(values).alias("_least"), F.max(values).alias("_most"))
+    current = bars.select(*kn, "_n", *[F.col(f"_b.{c}").alias(c) for c in [*series, *context, "_id"]], (~F.col("_least").eqNullSafe(F.col("_most"))).alias("_varied"))
 
     line = "PARTITION BY " + ", ".join(kn) + " ORDER BY _n"
-    logs = current.withColumns({f"_l_{s}": _log(F.col(s)) for s in [*r.rated, *r.fenced]})
+    logs = current.withColumns({f"_x_{s}": _log(F.col(s)) for s in [*r.rated, *r.fenced]})
     near = {}
     for s in [*r.rated, *r.fenced]:
         for i in (1, 2, 3):
-            near[f"_p{i}_{s}"] = F.expr(f"lag(_l_{s}, {i}) IGNORE NULLS OVER ({line})")
-            near[f"_n{i}_{s}"] = F.expr(f"lead(_l_{s}, {i}) IGNORE NULLS OVER ({line})")
+            near[f"_p{i}_{s}"] = F.expr(f"lag(_x_{s}, {i}) IGNORE NULLS OVER ({line})")
+            near[f"_n{i}_{s}"] = F.expr(f"lead(_x_{s}, {i}) IGNORE NULLS OVER ({line})")
     w = Window.partitionBy(*kn).orderBy("_n")
     for s in r.still:
         near[f"_same_{s}"] = F.coalesce(F.col(s) == F.lag(s).over(w), F.lit(False))
@@ -133,37 +142,42 @@ def implausible(
         long = F.when(F.col("_rn") - F.col(f"_start_{s}") + 1 >= r.frozen, F.col(f"_start_{s}"))
         seq = seq.withColumn(f"_frozen_{s}", F.col(s).isNotNull() & F.coalesce(F.min(long).over(w.rowsBetween(0, r.frozen - 1)) <= F.col("_rn"), F.lit(False)))
 
-    sketches = [F.percentile_approx(F.abs(F.col(f"_l_{s}") - F.col(f"_p1_{s}")), F.lit(0.5), r.accuracy).alias(f"_rate_{s}") for s in r.rated]
-    sketches += [F.percentile_approx(f"_l_{s}", F.array(*[F.lit(q) for q in _GRID]), r.accuracy).alias(f"_q_{s}") for s in r.fenced]
+    sketches = [F.percentile_approx(F.abs(F.col(f"_x_{s}") - F.col(f"_p1_{s}")), F.lit(0.5), r.accuracy).alias(f"_rate_{s}") for s in r.rated]
+    sketches += [F.percentile_approx(f"_x_{s}", F.array(*[F.lit(q) for q in _GRID]), r.accuracy).alias(f"_q_{s}") for s in r.fenced]
     normal = seq.groupBy(*kn, *context).agg(*sketches)
     half = len(_GRID) // 2
     for s in r.fenced:
         normal = normal.withColumn(f"_mid_{s}", F.expr(f"get(_q_{s}, {half})")).withColumn(f"_mad_{s}", F.expr(f"get(array_sort(transform(_q_{s}, x -> abs(x - _mid_{s}))), {half})"))
-    normal = normal.select(*[F.col(c).alias(f"_j{c}") for c in [*kn, *context]], *[f"_rate_{s}" for s in r.rated], *[x for s in r.fenced for x in (f"_mid_{s}", f"_mad_{s}")])
-
-    def same(a: str, b: str) -> Column:
-        return F.col(a).eqNullSafe(F.col(b))
-
-    on = [same(c, f"_j{c}") for c in [*kn, *context]]
-    judged = seq.join(normal, on, "left")
+    normal = normal.drop(*[f"_q_{s}" for s in r.fenced])
+    judged = seq.join(normal, [*kn, *context])
     for s in r.rated:
         judged = judged.withColumns(_sides(s, F.when(F.col(f"_rate_{s}") > 0, F.col(f"_rate_{s}") * r.rate), r.back))
     for s in r.fenced:
         judged = judged.withColumns(_sides(s, F.when(F.col(f"_mad_{s}") > 0, F.col(f"_mad_{s}") * (r.fence / 2)), r.back))
-    judged = judged.select(
-        *[F.col(c).alias(f"_g{c}") for c in [*kn, "_n"]],
-        *[f"_{c}_{s}" for s in [*r.rated, *r.fenced] for c in ("p1", "p2", "n1", "n2", "before", "after", "opens", "closes", "far")],
-        *[f"_mid_{s}" for s in r.fenced],
-        *[F.when(F.col(f"_frozen_{s}"), F.col(s)).alias(f"_stuck_{s}") for s in r.still],
+
+    def spike() -> Column:
+        found = F.lit(False)
+        for s in [*r.rated, *r.fenced]:
+            test = _departs(s, r.back)
+            if s in r.fenced:
+                test = test & (F.abs(F.col(f"_x_{s}") - F.col(f"_mid_{s}")) > 2 * F.col(f"_far_{s}"))
+            found = found | F.coalesce(test, F.lit(False))
+        return found
+
+    stuck = [F.col(f"_frozen_{s}") for s in r.still]
+    judged = judged.withColumn("_spike", spike()).withColumn("_frozen", F.greatest(*stuck) if len(stuck) > 1 else stuck[0])
+    places = [f"_{c}_{s}" for s in [*r.rated, *r.fenced] for c in ("p1", "p2", "n1", "n2", "before", "after", "opens", "closes", "far")] + [f"_mid_{s}" for s in r.fenced]
+    days = stage(
+        judged.where("_spike OR _frozen OR _varied").select(*kn, "_n", F.col("_id").alias("_chosen"), "_spike", "_frozen", *places, *[F.when(F.col(f"_frozen_{s}"), F.col(s)).alias(f"_stuck_{s}") for s in r.still]),
+        "days",
     )
-    placed = rows.drop("_o", *context).join(judged, [same(c, f"_g{c}") for c in [*kn, "_n"]], "left")
-    spike = F.lit(False)
-    for s in [*r.rated, *r.fenced]:
-        test = _departs(s, r.back)
-        if s in r.fenced:
-            test = test & (F.abs(F.col(f"_x_{s}") - F.col(f"_mid_{s}")) > 2 * F.col(f"_far_{s}"))
-        spike = spike | F.coalesce(test, F.lit(False))
-    frozen = F.lit(False)
+    own = days.where("_spike OR _frozen").select(F.col("_chosen").alias("_id"), F.lit(False).alias("_impossible"), "_frozen", "_spike")
+    replaced = rows.select(*kn, "_n", "_id", *series).join(days.drop("_spike", "_frozen"), [*kn, "_n"]).where(F.col("_id") != F.col("_chosen"))
+    replaced = replaced.withColumns({f"_x_{s}": _log(F.col(s)) for s in [*r.rated, *r.fenced]})
+    held = F.lit(False)
     for s in r.still:
-        frozen = frozen | F.coalesce(F.col(s) == F.col(f"_stuck_{s}"), F.lit(False))
-    return placed.select(F.col("_id").alias(row_id), F.col("_impossible").alias("impossible"), frozen.alias("frozen"), spike.alias("spike")).where("impossible OR frozen OR spike")
+        held = held | F.coalesce(F.col(s) == F.col(f"_stuck_{s}"), F.lit(False))
+    replaced = replaced.select("_id", F.lit(False).alias("_impossible"), held.alias("_frozen"), spike().alias("_spike"))
+    alone = rows.where("_impossible").select("_id", "_impossible", F.lit(False).alias("_frozen"), F.lit(False).alias("_spike"))
+    every = own.unionByName(replaced.where("_frozen OR _spike")).unionByName(alone).groupBy("_id")
+    return every.agg(F.bool_or("_impossible").alias("impossible"), F.bool_or("_frozen").alias("frozen"), F.bool_or("_spike").alias("spike")).withColumnRenamed("_id", row_id)
