@@ -39,6 +39,7 @@ _TAG = re.compile(r"(?<!\w)#\w+")
 _TICKER = re.compile(r"^\W*(?:\d{4,8}\.[A-Z]{1,3}|[A-Z]{5,}(?:\.[A-Z]{1,2})?|\$[A-Z]{2,})\W*$")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n")
 _NUMBER = re.compile(r"^\W*[\d.,:/%-]*\d[\d.,:/%-]*\W*$")
+_STATEMENT = re.compile(r"\w\(|\w\s*=\s*\S|^\s*(?:def|return|import|from|class)\b")
 _CODE = re.compile(r"[=(){}\[\]]|^\s*(?:def|return|import|from|class|select)\b", re.I)
 _PRICE = re.compile(r"[$€£]\s?\d|\d\s?[$€£]|\s\d+(?:[.,]\d+)?\s*$")
 _CELLS = re.compile(r"\s*[|;\t]\s*|\s*,\s+")
@@ -118,12 +119,11 @@ def _keywords(sequence: list[str]) -> set[tuple[str, ...]]:
     if sum(c for w, c in tally.items() if c >= least and w not in CLAUSE_WORDS) < 0.5 * STUFFED * SPAM_SHARE * n:
         return set()  # then no set of keywords can cover enough
     found = set()
-    for end, length, times in Automaton(sequence).repeats(KEY_TIMES):
-        for size in range(1, min(length, KEY_WORDS) + 1) if length <= KEY_WORDS else ():
-            if size == length and times * size >= KEY_SHARE * n:
-                key = tuple(sequence[end - size + 1 : end + 1])
-                if not CLAUSE_WORDS.intersection(key) and any(not w.isdigit() for w in key):
-                    found.add(key)
+    for end, size, times in Automaton(sequence).repeats(KEY_TIMES):
+        if size <= KEY_WORDS and times * size >= KEY_SHARE * n:
+            key = tuple(sequence[end - size + 1 : end + 1])
+            if not CLAUSE_WORDS.intersection(key) and any(not w.isdigit() for w in key):
+                found.add(key)
     return found
 
 
@@ -192,7 +192,7 @@ def spam_share(text: str | None) -> tuple[int, float]:
             if sum(len(w) for w, m in zip(sequence, marks) if m) >= LISTED * size * (0.5 if priced else 1.0):
                 listed.update(run)
     bad += sum(len(segments[i][1]) for i in listed)
-    rest = [i for i, (raw, _) in enumerate(segments) if i not in listed and not _table(raw)]
+    rest = [i for i, (raw, _) in enumerate(segments) if i not in listed and not _table(raw) and not _STATEMENT.search(raw)]
     keys = _keywords([w for i in rest for w in segments[i][1]]) if bad <= SPAM_SHARE * total else set()
     if keys:
         bad += sum(len(segments[i][1]) for i in rest if _under(segments[i][1], keys) >= STUFFED)
