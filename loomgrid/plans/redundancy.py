@@ -47,22 +47,29 @@ def _matrix(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pair_corr_matrix(signals: DataFrame, least: int = 20) -> DataFrame:
-    """The same as ``pair_corr`` for many factors: one matrix of assets by factors per market and date, which is bounded by these."""
+    """The same as ``pair_corr`` for many factors: one matrix of assets by factors per date, a month of a market in a task, which is bounded by these."""
 
     def correlate(pdf: pd.DataFrame) -> pd.DataFrame:
         factor, names = pd.factorize(pdf["factor"].to_numpy(dtype=object), sort=True)
         asset, assets = pd.factorize(pdf["asset"].to_numpy(dtype=object))
-        value, rank = np.full((2, len(assets), len(names)), np.nan)
-        value[asset, factor] = pdf["value"].to_numpy(float)
-        rank[asset, factor] = pdf["rank"].to_numpy(float)
-        n, p = _matrix(value, least)
-        _, s = _matrix(rank, least)
+        day, days = pd.factorize(pdf["date"].to_numpy(dtype=object))
+        cube = np.full((2, len(days), len(assets), len(names)), np.nan)
+        cube[0, day, asset, factor] = pdf["value"].to_numpy(float)
+        cube[1, day, asset, factor] = pdf["rank"].to_numpy(float)
         i, j = np.triu_indices(len(names))
-        seen = n[i, j] > 0
-        i, j = i[seen], j[seen]
-        return pd.DataFrame({"market": pdf["market"].iloc[0], "date": pdf["date"].iloc[0], "f_i": names[i], "f_j": names[j], "n": n[i, j].astype("int64"), "pearson": p[i, j], "spearman": s[i, j]})
-
-    out = _ranked(signals).select("market", "date", "asset", "factor", "value", "rank").groupBy("market", "date").applyInPandas(correlate, "market string, date date, f_i string, f_j string, n bigint, pearson double, spearman double")
+        parts = []
+        for t in range(len(days)):
+            n, p = _matrix(cube[0, t], least)
+            _, s = _matrix(cube[1, t], least)
+            parts.append((n[i, j], p[i, j], s[i, j]))
+        n, p, s = (np.concatenate(x) for x in zip(*parts))
+        seen = n > 0
+        k = len(i)
+        out = pd.DataFrame({"market": pdf["market"].iloc[0], "date": np.repeat(days, k), "f_i": np.tile(names[i], len(days)), "f_j": np.tile(names[j], len(days)), "n": n.astype("int64"), "pearson": p, "spearman": s})
+        return out[seen]
+
+    month = F.trunc("date", "month")
+    out = _ranked(signals).select("market", "date", "asset", "factor", "value", "rank").groupBy("market", month).applyInPandas(correlate, "market string, date date, f_i string, f_j string, n bigint, pearson double, spearman double")
     return out.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("pearson", "spearman")})
 
 

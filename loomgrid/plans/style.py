@@ -92,12 +92,12 @@ def residuals(signals: DataFrame, styles: DataFrame, names: Sequence[str] = STYL
     return out.select(*key, "asset", "value", "target", "residual"), quality
 
 
-def style_summary(signals: DataFrame, styles: DataFrame, split: Split = DEFAULT_SPLIT, least: int = 30, lags: int = 25) -> DataFrame:
+def style_summary(signals: DataFrame, styles: DataFrame, split: Split = DEFAULT_SPLIT, least: int = 30, lags: int = 25, names: Sequence[str] = STYLES) -> DataFrame:
     """Per factor, market and segment: valid dates, mean R2, IC and rank IC before and after, their difference and its HAC t.
 
     Ranks here are ordinal (ties in asset order), over assets with a target.
     """
-    rows, quality = residuals(signals, styles, least=least)
+    rows, quality = residuals(signals, styles, names, least)
     key = ["factor", "market", "date"]
     both = rows.where(F.col("target").isNotNull())
     both = both.withColumns({f"r_{c}": ordinal_rank(F.col(c), key, "asset") for c in ("value", "residual", "target")})
@@ -138,7 +138,7 @@ QUERIES = {
     "style_panel": lambda s, d: _rounded(style_panel(s, d), 6),
     "style_coverage": lambda s, d: _rounded(coverage(style_panel(s, d))),
     "style_r2_volatility": lambda s, d: _rounded(one_style_r2(signal_table(s, d, NAMES), style_panel(s, d), "volatility"), 6),
-    "style_summary": lambda s, d: _rounded(style_summary(signal_table(s, d, NAMES), style_panel(s, d), least=8), 6),
+    "style_summary": lambda s, d: _rounded(style_summary(signal_table(s, d, NAMES), style_panel(s, d), least=4, names=("volatility", "reversal")), 6),
 }
 
 _B = lambda n: f"OVER (PARTITION BY g.market, asset ORDER BY g.date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
