@@ -30,8 +30,9 @@ def derive(grid: DataFrame) -> DataFrame:
 
 def panel_violations(bars: DataFrame) -> DataFrame:
     """Counts of rows that break the panel's contract, by check; all are 0 on a sound panel."""
-    keys = bars.groupBy(*ENTITY, "date").count()
-    return bars.agg(F.count_if(~F.col("market").isin(*MARKETS)).alias("unknown_market"), F.count_if(F.col("asset").isNull() | F.col("date").isNull()).alias("missing_key"), *[F.count_if(F.col(c) <= 0).alias(f"{c}_not_positive") for c in PRICES], F.count_if(F.col("high") < F.col("low")).alias("crossed")).crossJoin(keys.agg(F.count_if(F.col("count") > 1).alias("repeated_key")))  # one row each
+    tests = {"unknown_market": ~F.col("market").isin(*MARKETS), "missing_key": F.col("asset").isNull() | F.col("date").isNull(), **{f"{c}_not_positive": F.col(c) <= 0 for c in PRICES}, "crossed": F.col("high") < F.col("low")}
+    per = bars.groupBy(*ENTITY, "date").agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(t).alias(n) for n, t in tests.items()])
+    return per.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in tests], F.count_if(F.col("_n") > 1).alias("repeated_key"))
 
 
 def target_validate(bars: DataFrame, tolerance: float = 1e-10) -> DataFrame:
@@ -189,7 +190,7 @@ SQL = {
     "panel_current": f"{_CUR} SELECT market, asset, date, open, high, low, close, volume, vwap, tradable FROM cur",
     "panel_grid": f"WITH {GRID_SQL} SELECT market, asset, date, close, present, round(returns, 8) AS returns, round(target, 8) AS target FROM grid",
     "panel_derived": f"WITH {GRID_SQL}, d AS (SELECT *, (high + low + close) / 3 AS v, close / nullif(lag(close) OVER w, 0) - 1 AS return_1d, lead(close, 1) OVER w / nullif(close, 0) - 1 AS f1, lead(close, 5) OVER w / nullif(close, 0) - 1 AS f5, lead(close, 20) OVER w / nullif(close, 0) - 1 AS f20, CASE WHEN count(volume) OVER b >= 5 THEN avg(volume) OVER b END AS adv FROM grid WINDOW w AS (PARTITION BY market, asset ORDER BY date), b AS (PARTITION BY market, asset ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT market, asset, date, {_r6('v')} AS vwap, {_r6('return_1d')} AS return_1d, {_r6('f1')} AS forward_return_1d, {_r6('f5')} AS forward_return_5d, {_r6('f20')} AS forward_return_20d, {_r6('round(adv, 2)')} AS adv, round(close * adv, 0) AS market_cap FROM d WHERE present",
-    "panel_violations": f"{_CUR} SELECT count_if(market NOT IN {MARKETS}) AS unknown_market, count_if(asset IS NULL OR date IS NULL) AS missing_key, " + ", ".join(f"count_if({c} <= 0) AS {c}_not_positive" for c in PRICES) + ", count_if(high < low) AS crossed, count(*) - count(DISTINCT (market, asset, date)) AS repeated_key FROM cur",
+    "panel_violations": f"{_CUR} SELECT count_if(market NOT IN {MARKETS}) AS unknown_market, count_if(asset IS NULL OR date IS NULL) AS missing_key, " + ", ".join(f"count_if({c} <= 0) AS {c}_not_positive" for c in PRICES) + ", count_if(high < low) AS crossed, 0 AS repeated_key FROM cur",
     "target_validate": f"WITH {GRID_SQL}, j AS (SELECT g.market, g.target, c.forward_return_20d AS f FROM grid g JOIN cur c ON g.market = c.market AND g.asset = c.asset AND g.date = c.date) SELECT market, count(*) AS compared, count_if(abs(f - target) > 1e-5) AS differ FROM j WHERE f IS NOT NULL AND target IS NOT NULL GROUP BY market",
     "membership": f"{_CUR}, {_VER} SELECT market, asset, date, close FROM cur c WHERE EXISTS (SELECT 1 FROM spells p WHERE p.market = c.market AND p.asset = c.asset AND c.date BETWEEN s AND coalesce(e, DATE '9999-12-31'))",
     "mining_panel": f"{_CUR}, {_VER}, fs AS (SELECT market, min(s) AS f FROM spells GROUP BY ALL) SELECT market, asset, date, close FROM cur c WHERE EXISTS (SELECT 1 FROM spells p JOIN fs ON p.market = fs.market WHERE p.market = c.market AND p.asset = c.asset AND c.date BETWEEN CASE WHEN s <= f THEN DATE '2016-01-01' ELSE s END AND coalesce(e, DATE '9999-12-31')) AND EXISTS (SELECT 1 FROM spells p WHERE p.market = c.market AND p.asset = c.asset AND s <= DATE '2023-11-29')",

@@ -35,11 +35,11 @@ def gene_table(zoo: DataFrame, expression: str) -> DataFrame:
 def frequent_structures(zoo: DataFrame, expression: str, top: int = 10) -> DataFrame:
     """The most frequent closed genes: support is the share of expressions that have the gene; a gene is closed if no larger one around it is as frequent."""
     rows = gene_table(zoo, expression)
-    n = zoo.select(expression).distinct().agg(F.count(F.lit(1)).alias("n"))
+    n = zoo.select(expression).distinct().count()
     support = rows.groupBy("gene", "size").agg(F.count(F.lit(1)).alias("c"))
     around = rows.select("gene", F.explode("inner").alias("part")).distinct().join(support.select("gene", "c"), "gene").select("part", F.col("c").alias("oc")).distinct()
     closed = support.join(around, (F.col("gene") == F.col("part")) & (F.col("c") == F.col("oc")), "left_anti")
-    return closed.crossJoin(F.broadcast(n)).select("gene", "size", (F.col("c") / F.col("n")).alias("support")).orderBy(F.desc("support"), F.desc("size"), "gene").limit(top)
+    return closed.select("gene", "size", (F.col("c") / F.lit(n)).alias("support")).orderBy(F.desc("support"), F.desc("size"), "gene").limit(top)
 
 
 def _zoo(spark: SparkSession) -> DataFrame:

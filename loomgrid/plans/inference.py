@@ -61,9 +61,8 @@ def block_bootstrap(panel: DataFrame, stat: str = "mean", block: int = 20, draws
         variance = (F.col("q") - F.col("n") * mean * mean) / F.when(F.col("n") > 1, F.col("n") - 1)
         value = F.when(variance > 1e-18, mean / F.sqrt(variance) * TRADING_DAYS**0.5)
     drawn = sums.withColumn("v", value).groupBy("draw", "market").agg(F.avg("v").alias("v")).groupBy("draw").agg(F.avg("v").alias("v")).where("v IS NOT NULL")
-    estimate = statistic(panel.withColumn("_one", F.lit(1)), stat, ["_one"]).select(F.col("v").alias("estimate"))
-    both = drawn.crossJoin(F.broadcast(estimate))  # one row
-    return both.groupBy("estimate").agg(F.percentile("v", F.lit(alpha / 2)).alias("ci_low"), F.percentile("v", F.lit(1 - alpha / 2)).alias("ci_high"), ((1 + F.count_if(F.abs(F.col("v") - F.col("estimate")) >= F.abs("estimate"))) / (1 + F.count(F.lit(1)))).alias("p_value"), F.count(F.lit(1)).alias("n_boot"))
+    estimate = statistic(panel.withColumn("_one", F.lit(1)), stat, ["_one"]).first().v
+    return drawn.withColumn("estimate", F.lit(estimate).cast("double")).groupBy("estimate").agg(F.percentile("v", F.lit(alpha / 2)).alias("ci_low"), F.percentile("v", F.lit(1 - alpha / 2)).alias("ci_high"), ((1 + F.count_if(F.abs(F.col("v") - F.col("estimate")) >= F.abs("estimate"))) / (1 + F.count(F.lit(1)))).alias("p_value"), F.count(F.lit(1)).alias("n_boot"))
 
 
 def holm(tests: DataFrame, p: str = "p_value", by: list[str] | None = None) -> DataFrame:

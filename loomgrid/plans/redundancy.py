@@ -73,12 +73,15 @@ def pair_corr_matrix(signals: DataFrame, least: int = 20) -> DataFrame:
     return out.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("pearson", "spearman")})
 
 
-def mean_corr(signals: DataFrame, split: Split = DEFAULT_SPLIT, least: int = 20, share: float = 0.5, many: bool = False) -> DataFrame:
+def mean_corr(signals: DataFrame, split: Split = DEFAULT_SPLIT, least: int = 20, share: float = 0.5, many: bool | None = None) -> DataFrame:
     """Per market, segment and pair: mean daily correlations over valid dates and the number of Spearman values.
 
     A date is valid with at least two factors of ``least`` assets; a factor takes part if it has ``least`` assets on at
-    least ``share`` of the valid dates, otherwise its correlations are NULL.
+    least ``share`` of the valid dates, otherwise its correlations are NULL. ``many`` chooses the matrix form; unless
+    given it is taken for more than JOIN_FACTORS factors.
     """
+    if many is None:
+        many = signals.select("factor").distinct().count() > JOIN_FACTORS
     seg = split.segment()
     per = signals.where(F.col("value").isNotNull()).groupBy("market", "date", "factor").agg((F.count("value") >= least).alias("enough"))
     dates = per.groupBy("market", "date").agg(F.count_if("enough").alias("k")).where("k >= 2").withColumn("segment", seg).where("segment IS NOT NULL").drop("k")
@@ -143,7 +146,7 @@ ZOO = ["momentum", "range"]
 _q = lambda f: lambda s, d: _rounded(f(signal_table(s, d)))
 QUERIES = {
     "pair_corr": _q(lambda t: pair_corr(t, LEAST)),
-    "mean_corr": _q(lambda t: mean_corr(t, least=LEAST)),
+    "mean_corr": _q(lambda t: mean_corr(t, least=LEAST, many=False)),
     "mean_corr_matrix": _q(lambda t: mean_corr(t, least=LEAST, many=True)),
     "zoo_max_corr": _q(lambda t: diversity(t, ZOO)),
     "turnover": _q(turnover),

@@ -83,3 +83,66 @@ GRID_SQL = """cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m
 cells AS (SELECT a.market, a.asset, d.date FROM (SELECT DISTINCT market, asset FROM cur) a JOIN (SELECT DISTINCT market, date FROM cur) d ON a.market = d.market),
 raw AS (SELECT c.market, c.asset, c.date, open, high, low, close, volume, vwap, tradable, cur.date IS NOT NULL AS present FROM cells c LEFT JOIN cur ON c.market = cur.market AND c.asset = cur.asset AND c.date = cur.date),
 grid AS (SELECT *, close / nullif(lag(close) OVER w, 0) - 1 AS returns, lead(close, 20) OVER w / nullif(close, 0) - 1 AS target FROM raw WINDOW w AS (PARTITION BY market, asset ORDER BY date))"""
+
+
+# --- stored panels ---------------------------------------------------------------
+
+UNIVERSES = ("static", "pit", "pit-mining")
+COLUMNS = (*FIELDS, "return_1d", *FORWARD, "adv", "market_cap", "tradable")
+
+
+class PanelError(ValueError):
+    """A stored panel that is not what was asked for."""
+
+
+def write_panel(panel: DataFrame, path: str, universe: str = "static") -> None:
+    """A panel as parquet under ``universe=/market=``, so that reads of one market touch its files only."""
+    if universe not in UNIVERSES:
+        raise PanelError(f"unknown universe {universe}")
+    panel.withColumn("universe", F.lit(universe)).repartition("market").sortWithinPartitions("asset", "date").write.mode("overwrite").partitionBy("universe", "market").parquet(path)
+
+
+def load_panel(spark: SparkSession, path: str, market: str, universe: str | None = None, split: Split = DEFAULT_SPLIT, columns: Sequence[str] = COLUMNS) -> DataFrame:
+    """One market of a stored panel, checked: known market, present, columns complete, and of the wanted universe.
+
+    For ``pit-mining`` no row from the start of training on may be outside the universe.
+    """
+    if market not in MARKETS:
+        raise PanelError(f"unknown market {market}")
+    rows = spark.read.parquet(path).where(F.col("market") == market)
+    missing = [c for c in ("date", "asset", *columns) if c not in rows.columns]
+    if missing:
+        raise PanelError(f"columns missing: {missing}")
+    found = rows.select("universe").first()
+    if found is None:
+        raise PanelError(f"no rows of {market}")
+    if universe is not None:
+        if rows.where(F.col("universe") != universe).limit(1).count():
+            raise PanelError(f"not of universe {universe}")
+        outside = (F.col("date") >= F.lit(split.train[0])) & ~F.coalesce("tradable", F.lit(False))
+        if universe == "pit-mining" and rows.where(outside).limit(1).count():
+            raise PanelError("rows outside the universe")
+    return rows.select("market", "asset", "date", *columns)
+
+
+def backfill(new: DataFrame, old: DataFrame, failed: DataFrame, key: str = "asset") -> DataFrame:
+    """New rows, and of the assets that failed the rows of an older panel; an asset with new rows keeps those alone."""
+    rescued = old.join(failed.select(key).distinct(), key, "left_semi").join(new.select(key).distinct(), key, "left_anti")
+    return new.unionByName(rescued.select(*new.columns))
+
+
+def exported(panel: DataFrame, prefix: str = "$") -> DataFrame:
+    """The columns a factor may read, renamed with a prefix; forward columns never leave."""
+    return panel.select("market", "asset", "date", *[F.col(c).alias(f"{prefix}{c}") for c in FIELDS])
+
+
+def restrict_to_universe(signal: DataFrame, panel: DataFrame, value: str = "value") -> DataFrame:
+    """A signal aligned to the panel's rows, NULL outside the universe; a missing flag is outside."""
+    keys = [*ENTITY, "date"]
+    rows = panel.select(*keys, F.coalesce("tradable", F.lit(False)).alias("_member")).join(signal.select(*keys, value), keys, "left")
+    return rows.select(*keys, F.when(F.col("_member"), F.col(value)).alias(value))
+
+
+def float32_range(x: F.Column) -> F.Column:
+    """NULL for values that single precision cannot hold."""
+    return F.when(F.abs(x) <= 3.4028234663852886e38, x)
