@@ -26,7 +26,10 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 def words(text: str | None) -> list[str]:
     """Maximal runs of letters and digits, in lower case; the underscore is neither."""
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    # lower case can split a word where a letter becomes a letter and a mark, so it comes after the split
+    return _WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in _WORD.findall(text)]
 
 
 class _Hasher(dict):
