@@ -91,6 +91,12 @@ def tamper(bars: DataFrame, cut: date, seed: int = 0) -> DataFrame:
     return out.withColumn("vwap", F.when(after, (F.col("high") + F.col("low") + F.col("close")) / 3).otherwise(F.col("vwap")))
 
 
+def scale_future(bars: DataFrame, cut: date, price: float = 3.0, volume: float = 7.0) -> DataFrame:
+    """The panel with prices and volumes after ``cut`` multiplied by fixed numbers: a second, scale-only form of tampering."""
+    after = F.col("date") > F.lit(cut)
+    return bars.withColumns({**{c: F.when(after, F.col(c) * price).otherwise(F.col(c)) for c in (*PRICES, "vwap")}, "volume": F.when(after, F.col("volume") * volume).otherwise(F.col("volume"))})
+
+
 def compare_window(real: DataFrame, tampered: DataFrame, names: Sequence[str], cut: date, window: int = 60, rtol: float = 1e-7, atol: float = 1e-12) -> DataFrame:
     """Per market and factor over the last ``window`` dates up to ``cut``: clean, lookahead or no_signal, with what changed.
 
@@ -111,7 +117,7 @@ def compare_window(real: DataFrame, tampered: DataFrame, names: Sequence[str], c
     return out.select("market", "factor", status.alias("status"), "n_dates", "n_changed_dates", "first_changed_date", "n_changed_values", "max_abs_diff", "nan_mismatch")
 
 
-def lookahead(bars: DataFrame, factors: dict[str, Node], cuts: Sequence[date], extra: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def lookahead(bars: DataFrame, factors: dict[str, Node], cuts: Sequence[date], extra: Callable[[DataFrame], DataFrame] | None = None, change: Callable[[DataFrame, date], DataFrame] = tamper) -> DataFrame:
     """The tampering test of compiled factors, or of ``extra`` added to them, at every cut."""
     fields = [f for f in FIELDS]
 
@@ -125,7 +131,7 @@ def lookahead(bars: DataFrame, factors: dict[str, Node], cuts: Sequence[date], e
     real, out = run(bars), None
     names = [c for c in real.columns if c not in ("market", "asset", "date", "close")]
     for cut in cuts:
-        part = compare_window(real, run(tamper(bars, cut)), names, cut).withColumn("cut", F.lit(cut))
+        part = compare_window(real, run(change(bars, cut)), names, cut).withColumn("cut", F.lit(cut))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -177,6 +183,7 @@ QUERIES = {
     "mining_panel": lambda s, d: mining_panel(_bars(s, d), _spells(s, d)).select("market", "asset", "date", "close"),
     "tampered_panel": lambda s, d: _rounded(tamper(_bars(s, d), CUTS[0]).select("market", "asset", "date", "close", "volume"), 6),
     "lookahead_clean": lambda s, d: _rounded(lookahead(_bars(s, d), _CLEAN, CUTS)),
+    "lookahead_scaled": lambda s, d: lookahead(_bars(s, d), {"range": _CLEAN["range"]}, CUTS[1:], _peek, scale_future).select("market", "factor", "cut", "status"),
     "lookahead_caught": lambda s, d: lookahead(_bars(s, d), {"range": _CLEAN["range"]}, CUTS[:1], _peek).select("market", "factor", "cut", "status"),
     "code_factor": lambda s, d: _rounded(code_factor(_bars(s, d), lambda g: g["close"].rolling(5, min_periods=5).mean() / g["close"].where(g["close"] > 0) - 1), 6),
 }

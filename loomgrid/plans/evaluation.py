@@ -49,12 +49,15 @@ def _corr_sql(x: str, y: str, least: int = 2) -> str:
 DAILY_SQL = f"{_PAIRS},\ndaily AS (SELECT factor, market, date, count(*) AS n_assets, round({_corr_sql('value', 'target')}, 10) AS ic, round({_corr_sql('rv', 'rt')}, 10) AS rank_ic FROM pairs GROUP BY factor, market, date)"
 
 
-def segment_ic(daily: DataFrame, split: Split = DEFAULT_SPLIT, by: Sequence[str] = ("factor", "market")) -> DataFrame:
-    """Per segment: mean IC, mean rank IC, their ratio to the sample deviation (NULL where that is 0), and scorable dates."""
+def segment_ic(daily: DataFrame, split: Split = DEFAULT_SPLIT, by: Sequence[str] = ("factor", "market"), population: bool = False) -> DataFrame:
+    """Per segment: mean IC, mean rank IC, their ratio to the deviation (NULL where that is 0), and scorable dates.
+
+    The deviation is that of a sample; composites are summarised with that of the population.
+    """
     rows = daily.withColumn("segment", split.segment()).where(F.col("segment").isNotNull())
 
     def ratio(c: str) -> F.Column:
-        return F.when(F.max(c) > F.min(c), F.avg(c) / F.stddev_samp(c))
+        return F.when(F.max(c) > F.min(c), F.avg(c) / (F.stddev_pop(c) if population else F.stddev_samp(c)))
 
     return rows.groupBy(*by, "segment").agg(F.avg("ic").alias("ic"), F.avg("rank_ic").alias("rank_ic"), ratio("ic").alias("icir"), ratio("rank_ic").alias("rank_icir"), F.count("ic").alias("n_dates"))
 
@@ -69,6 +72,14 @@ def train_sign(segments: DataFrame) -> DataFrame:
     return segments.groupBy("factor", "market").agg(F.max(F.when(F.col("segment") == "train", F.col("ic"))).alias("train_ic")).withColumn("sign", F.when(F.col("train_ic") < 0, -1).otherwise(1))
 
 
+def full_coverage_sign(signals: DataFrame, split: Split = DEFAULT_SPLIT, least: int = 30) -> DataFrame:
+    """+1 or -1 by the mean training IC over dates on which the factor has a value for every asset with a target, at least ``least``; +1 without any."""
+    rows = signals.where(F.col("target").isNotNull()).withColumn("segment", split.segment()).where("segment = 'train'")
+    daily = rows.groupBy(*DAILY).agg(F.count("target").alias("n"), F.count("value").alias("k"), centred_corr(F.col("value"), F.when(F.col("value").isNotNull(), F.col("target"))).alias("ic"))
+    good = F.when((F.col("n") >= least) & (F.col("k") == F.col("n")), F.col("ic"))
+    return daily.groupBy("factor", "market").agg(F.count(good).alias("n_dates"), F.when(F.round(F.avg(good), 12) < 0, -1).otherwise(1).alias("sign"))
+
+
 def flat_dates(signals: DataFrame, split: Split = DEFAULT_SPLIT) -> DataFrame:
     """Dates on which a signal has two or more values and all are equal."""
     per = signals.where(F.col("value").isNotNull()).groupBy(*DAILY).agg((F.count("value") >= 2).alias("two"), (F.max("value") == F.min("value")).alias("flat"))
@@ -162,6 +173,8 @@ QUERIES = {
     "daily_ic": lambda s, d: daily_ic(signal_table(s, d)),
     "segment_ic": _q(lambda t: segment_ic(daily_ic(t))),
     "train_sign": _q(lambda t: train_sign(segment_ic(daily_ic(t)))),
+    "full_coverage_sign": _q(lambda t: full_coverage_sign(t, least=4)),
+    "composite_icir": _q(lambda t: segment_ic(daily_ic(t), population=True)),
     "flat_dates": _q(flat_dates),
     "ic_table": _q(ic_table),
     "newey_west": _q(lambda t: newey_west(daily_ic(t).withColumn("segment", DEFAULT_SPLIT.segment()).where("segment IS NOT NULL"), ["factor", "market", "segment"], "date", "ic")),
@@ -178,6 +191,13 @@ SQL = {
     "daily_ic": f"WITH {_BASE} SELECT * FROM daily",
     "segment_ic": _sql(f"{_BASE},\n{SEGMENT_SQL}", "SELECT * FROM seg", ["ic", "rank_ic", "icir", "rank_icir"], [*_KEY, "n_dates"]),
     "train_sign": _sql(f"{_BASE},\n{SEGMENT_SQL}", "SELECT factor, market, max(CASE WHEN segment = 'train' THEN ic END) AS train_ic, CASE WHEN max(CASE WHEN segment = 'train' THEN ic END) < 0 THEN -1 ELSE 1 END AS sign FROM seg GROUP BY factor, market", ["train_ic"], ["factor", "market", "sign"]),
+    "full_coverage_sign": _sql(
+        f"{_ALL_ROWS},\ndc AS (SELECT factor, market, date, count(*) AS n, count(value) AS k, CASE WHEN max(value) > min(value) AND max(CASE WHEN value IS NOT NULL THEN target END) > min(CASE WHEN value IS NOT NULL THEN target END) AND count(value) >= 2 THEN covar_pop(value, target) / nullif(stddev_pop(value) * stddev_pop(CASE WHEN value IS NOT NULL THEN target END), 0) END AS ic FROM sig WHERE target IS NOT NULL AND {DEFAULT_SPLIT.sql()} = 'train' GROUP BY ALL)",
+        "SELECT factor, market, count(CASE WHEN n >= 4 AND k = n THEN ic END) AS n_dates, CASE WHEN round(avg(CASE WHEN n >= 4 AND k = n THEN ic END), 12) < 0 THEN -1 ELSE 1 END AS sign FROM dc GROUP BY ALL",
+        [],
+        ["factor", "market", "n_dates", "sign"],
+    ),
+    "composite_icir": _sql(f"{_BASE},\n{SEGMENT_SQL.replace('stddev_samp', 'stddev_pop')}", "SELECT * FROM seg", ["ic", "rank_ic", "icir", "rank_icir"], [*_KEY, "n_dates"]),
     "flat_dates": f"WITH {signal_sql()}, per AS (SELECT factor, market, date, count(*) >= 2 AND max(value) = min(value) AS flat FROM sig GROUP BY ALL) SELECT factor, market, {DEFAULT_SPLIT.sql()} AS segment, count_if(flat) AS flat_dates FROM per WHERE {DEFAULT_SPLIT.sql()} IS NOT NULL GROUP BY ALL",
     "newey_west": _sql(f"{_BASE},\n{SEGMENT_SQL},\n{HAC_SQL}", "SELECT g.factor, g.market, g.segment, g.n_dates AS n, g.ic AS mean, h.t_hac FROM seg g JOIN hac h USING (factor, market, segment)", ["mean", "t_hac"], [*_KEY, "n"]),
     "ic_table": _sql(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions.stats import centred_corr, percent_rank_avg
 from loomgrid.plans.evaluation import DAILY_SQL, SEGMENT_SQL, _rounded, _sql, daily_ic, ic_table, segment_ic, signal_sql, signal_table, train_sign
 from loomgrid.plans.redundancy import mean_corr
+from loomgrid.plans.style import style_panel, style_summary
 from loomgrid.session import stage
 from loomgrid.sources.panel import DEFAULT_SPLIT, GRID_SQL, market_grid
 
@@ -120,6 +121,7 @@ def ridge_weights(signals: DataFrame, selected: DataFrame, alphas: Sequence[floa
     for i, n in enumerate(names):
         complete = complete & (F.col(f"z{i}").isNotNull() | ~F.array_contains("own", n))
     wide = wide.where(complete).fillna(0.0, [f"z{i}" for i in range(len(names))])
+    wide = stage(wide, "wide")
     k = len(names)
     x = [F.col(f"z{i}") for i in range(k)]
     sums = wide.where("segment = 'train'").groupBy("market").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.covar_pop(a, b) for a in x for b in x]).alias("g"), F.array(*[F.covar_pop(a, F.col("y")) for a in x]).alias("b"), F.first("own").alias("own")).where(F.col("n") >= least)
@@ -136,7 +138,7 @@ def ridge_weights(signals: DataFrame, selected: DataFrame, alphas: Sequence[floa
                     rows.append((market, float(a), w.tolist()))
             yield pd.DataFrame(rows, columns=["market", "alpha", "w"])
 
-    fits = sums.mapInPandas(solve, "market string, alpha double, w array<double>")
+    fits = stage(sums.mapInPandas(solve, "market string, alpha double, w array<double>"), "ridge")
     valid = wide.where("segment = 'valid'").join(fits, "market")
     predicted = sum((F.col("w")[i] * x[i] for i in range(k)), F.lit(0.0))
     scored = valid.select("market", "alpha", "date", predicted.alias("p"), "y").groupBy("market", "alpha", "date").agg(centred_corr(F.col("p"), F.col("y")).alias("ic"))
@@ -246,7 +248,7 @@ LONG, SHORT = Book(least=3, quantile=0.34), Book("long_short", least=2, quantile
 
 
 def _selected(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    signals = signal_table(spark, folder, NAMES)
+    signals = stage(signal_table(spark, folder, NAMES), "signals")
     segments = segment_ic(daily_ic(signals))
     sign = train_sign(segments).select("factor", "market", "sign")
     ic = segments.where("segment = 'valid'").select("factor", "market", "ic").join(sign, ["factor", "market"], "right").withColumn("ic", F.round(F.col("sign") * F.col("ic"), 10))
@@ -268,6 +270,13 @@ def select_greedy(spark: SparkSession, folder: str) -> DataFrame:
     return greedy_selection(candidates(ic_table(signals), least_dates=50), mean_corr(signals, least=3).where("segment = 'valid'"), cap=4)
 
 
+def composite_style(spark: SparkSession, folder: str) -> DataFrame:
+    """What the composite keeps after two styles are regressed out, on matched dates."""
+    targets = market_grid(spark, folder).where("present").select("market", "asset", "date", F.round("target", 10).alias("target"))
+    scores = composite_scores(spark, folder).join(targets, ["market", "asset", "date"]).select(F.lit("composite").alias("factor"), "market", "asset", "date", F.col("score").alias("value"), "target")
+    return style_summary(scores, style_panel(spark, folder), least=4, names=("volatility", "reversal"))
+
+
 def backtest_grid(spark: SparkSession, folder: str) -> DataFrame:
     """One axis at a time: rebalancing periods at the default cost, and costs at the default period.
 
@@ -298,6 +307,7 @@ QUERIES = {
     "backtest_long_short": lambda s, d: _rounded(backtest(composite_scores(s, d), _returns(s, d), SHORT), 7),
     "benchmark_returns": lambda s, d: _rounded(benchmark(market_grid(s, d))),
     "perf_metrics": lambda s, d: _rounded(performance(backtest(composite_scores(s, d), _returns(s, d), LONG), benchmark(market_grid(s, d))), 6),
+    "composite_style": lambda s, d: _rounded(composite_style(s, d), 6),
     "backtest_grid": backtest_grid,
 }
 

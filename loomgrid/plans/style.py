@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions.stats import centred_corr, newey_west, ordinal_rank
 from loomgrid.plans.evaluation import _rounded, _sql, signal_sql, signal_table
+from loomgrid.session import stage
 from loomgrid.sources.panel import DEFAULT_SPLIT, ENTITY, GRID_SQL, Split, market_grid
 
 STYLES = ("beta", "volatility", "momentum", "reversal", "liquidity")
@@ -81,7 +82,7 @@ def residuals(signals: DataFrame, styles: DataFrame, names: Sequence[str] = STYL
                 pdf["coef"] = list(np.einsum("nij,nj->ni", np.linalg.pinv(g, hermitian=True), b))
                 yield pdf[[*key, "n", "mean", "coef"]]
 
-    fits = sums.mapInPandas(solve, "factor string, market string, date date, n bigint, mean double, coef array<double>")
+    fits = stage(sums.mapInPandas(solve, "factor string, market string, date date, n bigint, mean double, coef array<double>"), "fits")
     fitted = F.col("coef")[0]
     for i, s in enumerate(names):
         fitted = fitted + F.col("coef")[i + 1] * F.col(s)
@@ -97,7 +98,7 @@ def style_summary(signals: DataFrame, styles: DataFrame, split: Split = DEFAULT_
 
     Ranks here are ordinal (ties in asset order), over assets with a target.
     """
-    rows, quality = residuals(signals, styles, names, least)
+    rows, quality = residuals(stage(signals, "signals"), stage(styles, "styles"), names, least)
     key = ["factor", "market", "date"]
     both = rows.where(F.col("target").isNotNull())
     both = both.withColumns({f"r_{c}": ordinal_rank(F.col(c), key, "asset") for c in ("value", "residual", "target")})
@@ -110,6 +111,7 @@ def style_summary(signals: DataFrame, styles: DataFrame, split: Split = DEFAULT_
         (F.max("value") == F.min("value")).cast("double").alias("flat"),
     )
     daily = daily.join(quality, key).withColumn("segment", split.segment()).where("segment IS NOT NULL").withColumn("delta", F.col("ic_res") - F.col("ic_raw"))
+    daily = stage(daily, "style")  # one row per regression, read by three aggregations
     by = ["factor", "market", "segment"]
     out = daily.groupBy(*by).agg(F.count("ic_res").alias("valid_dates"), F.avg("n").alias("mean_obs"), F.avg("degenerate").alias("degenerate_rate"), F.avg("flat").alias("flat_rate"), *[F.avg(c).alias(c) for c in ("r2", "adj_r2", "ic_raw", "ic_res", "rank_ic_raw", "rank_ic_res")], F.avg("delta").alias("delta_ic"))
     for c, name in (("ic_res", "t_hac_ic_res"), ("delta", "t_hac_delta")):

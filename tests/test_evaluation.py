@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions.expr import parse_formula
 from loomgrid.functions.stats import newey_west
-from loomgrid.plans.checks import code_factor, compare_window, lookahead, member_rows, mining_panel, read_spells, tamper
+from loomgrid.plans.checks import code_factor, compare_window, lookahead, member_rows, mining_panel, read_spells, scale_future, tamper
 from loomgrid.plans.evaluation import daily_ic, stability
 from loomgrid.plans.inference import block_bootstrap, block_indices, holm, statistic
 from loomgrid.plans.portfolio import Book, backtest, greedy_selection, ridge_weights, target_books
@@ -211,6 +211,8 @@ def test_look_ahead_is_caught_and_the_past_untouched(spark):
     assert bars.join(t.withColumnRenamed("close", "other"), ["market", "asset", "date"]).where((F.col("date") > F.lit(cut)) & (F.col("other") == F.col("close"))).count() == 0
     got = {r.factor: r for r in lookahead(bars, {"ok": parse_formula("rank(sma(close, 5)) + close / delay(open, 3)")}, [cut], _peek).collect()}
     assert {k: r.status for k, r in got.items()} == {"ok": "clean", "peek": "lookahead", "nothing": "no_signal"}
+    scaled = {r.factor: r.status for r in lookahead(bars, {"ok": parse_formula("rank(sma(close, 5))")}, [cut], _peek, scale_future).collect()}
+    assert scaled == {"ok": "clean", "peek": "lookahead", "nothing": "no_signal"}
     assert got["peek"].first_changed_date == cut - timedelta(4) and got["peek"].n_changed_dates == 5 and got["ok"].n_dates == 60
 
 
