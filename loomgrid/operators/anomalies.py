@@ -55,12 +55,24 @@ def _excursion(v: Column, p: Column, n: Column, far: Column, back: float) -> Col
     return (F.abs(a) > far) & (F.abs(b) > far) & (F.signum(a) == F.signum(b)) & (F.abs(p - n) < back * F.least(F.abs(a), F.abs(b)))
 
 
-def _sides(s: str, far: Column, back: float) -> dict[str, Column]:
-    """What a reading's place says before its own value is known: neighbours, levels, and whether a neighbour departs with it."""
+def _levels(s: str) -> dict[str, Column]:
+    """The level of the readings before and of those after: medians of three."""
     p1, p2, p3, n1, n2, n3 = (F.col(f"_{a}{i}_{s}") for a in "pn" for i in (1, 2, 3))
+    return {f"_before_{s}": _middle(p1, p2, p3), f"_after_{s}": _middle(n1, n2, n3)}
+
+
+def _off_level(s: str) -> Column:
+    """A cheap test that every spike passes: off both levels, to the same side."""
+    a, b, far = F.col(f"_x_{s}") - F.col(f"_before_{s}"), F.col(f"_x_{s}") - F.col(f"_after_{s}"), F.col(f"_far_{s}")
+    return F.coalesce((F.abs(a) > far) & (F.abs(b) > far) & (F.signum(a) == F.signum(b)), F.lit(False))
+
+
+def _sides(s: str, back: float) -> dict[str, Column]:
+    """Whether the next or the preceding reading departs too, and to which side."""
+    p1, p2, n1, n2, far = (F.col(f"_{a}_{s}") for a in ("p1", "p2", "n1", "n2", "far"))
     up = F.coalesce(F.when(_excursion(n1, p1, n2, far, back), F.signum(n1 - p1)), F.lit(0.0))
     down = F.coalesce(F.when(_excursion(p1, p2, n1, far, back), F.signum(p1 - n1)), F.lit(0.0))
-    return {f"_opens_{s}": up, f"_closes_{s}": down, f"_before_{s}": _middle(p1, p2, p3), f"_after_{s}": _middle(n1, n2, n3), f"_far_{s}": far}
+    return {f"_opens_{s}": up, f"_closes_{s}": down}
 
 
 def _departs(s: str, back: float) -> Column:
@@ -69,9 +81,7 @@ def _departs(s: str, back: float) -> Column:
     p1, p2, n1, n2 = (F.col(f"_{a}{i}_{s}") for a in "pn" for i in (1, 2))
     opens = (F.col(f"_opens_{s}") == F.signum(x - p1)) & _excursion(x, p1, n2, far, back)
     closes = (F.col(f"_closes_{s}") == F.signum(x - n1)) & _excursion(x, p2, n1, far, back)
-    a, b = x - F.col(f"_before_{s}"), x - F.col(f"_after_{s}")
-    level = (F.abs(a) > far) & (F.abs(b) > far) & (F.signum(a) == F.signum(b))
-    return (_excursion(x, p1, n1, far, back) | opens | closes) & level
+    return _off_level(s) & (_excursion(x, p1, n1, far, back) | opens | closes)
 
 
 def implausible(
@@ -150,10 +160,13 @@ def implausible(
         normal = normal.withColumn(f"_mid_{s}", F.expr(f"get(_q_{s}, {half})")).withColumn(f"_mad_{s}", F.expr(f"get(array_sort(transform(_q_{s}, x -> abs(x - _mid_{s}))), {half})"))
     normal = normal.drop(*[f"_q_{s}" for s in r.fenced])
     judged = seq.join(normal, [*kn, *context])
-    for s in r.rated:
-        judged = judged.withColumns(_sides(s, F.when(F.col(f"_rate_{s}") > 0, F.col(f"_rate_{s}") * r.rate), r.back))
-    for s in r.fenced:
-        judged = judged.withColumns(_sides(s, F.when(F.col(f"_mad_{s}") > 0, F.col(f"_mad_{s}") * (r.fence / 2)), r.back))
+    far = {f"_far_{s}": F.when(F.col(f"_rate_{s}") > 0, F.col(f"_rate_{s}") * r.rate) for s in r.rated}
+    far |= {f"_far_{s}": F.when(F.col(f"_mad_{s}") > 0, F.col(f"_mad_{s}") * (r.fence / 2)) for s in r.fenced}
+    judged = judged.withColumns(far)
+    off = F.lit(False)
+    for s in [*r.rated, *r.fenced]:
+        judged = judged.withColumns(_levels(s))
+        off = off | _off_level(s)
 
     def spike() -> Column:
         found = F.lit(False)
@@ -165,14 +178,18 @@ def implausible(
         return found
 
     stuck = [F.col(f"_frozen_{s}") for s in r.still]
-    judged = judged.withColumn("_spike", spike()).withColumn("_frozen", F.greatest(*stuck) if len(stuck) > 1 else stuck[0])
-    places = [f"_{c}_{s}" for s in [*r.rated, *r.fenced] for c in ("p1", "p2", "n1", "n2", "before", "after", "opens", "closes", "far")] + [f"_mid_{s}" for s in r.fenced]
+    judged = judged.withColumn("_frozen", F.greatest(*stuck) if len(stuck) > 1 else stuck[0])
+    places = [f"_{c}_{s}" for s in [*r.rated, *r.fenced] for c in ("p1", "p2", "n1", "n2", "before", "after", "far")] + [f"_mid_{s}" for s in r.fenced]
+    # the few days that are off level, frozen or delivered differently; only these get the full test
     days = stage(
-        judged.where("_spike OR _frozen OR _varied").select(*kn, "_n", F.col("_id").alias("_chosen"), "_spike", "_frozen", *places, *[F.when(F.col(f"_frozen_{s}"), F.col(s)).alias(f"_stuck_{s}") for s in r.still]),
+        judged.where(off | F.col("_frozen") | F.col("_varied")).select(*kn, "_n", F.col("_id").alias("_chosen"), "_frozen", *places, *[f"_x_{s}" for s in [*r.rated, *r.fenced]], *[F.when(F.col(f"_frozen_{s}"), F.col(s)).alias(f"_stuck_{s}") for s in r.still]),
         "days",
     )
+    for s in [*r.rated, *r.fenced]:
+        days = days.withColumns(_sides(s, r.back))
+    days = days.withColumn("_spike", spike())
     own = days.where("_spike OR _frozen").select(F.col("_chosen").alias("_id"), F.lit(False).alias("_impossible"), "_frozen", "_spike")
-    replaced = rows.select(*kn, "_n", "_id", *series).join(days.drop("_spike", "_frozen"), [*kn, "_n"]).where(F.col("_id") != F.col("_chosen"))
+    replaced = rows.select(*kn, "_n", "_id", *series).join(days.drop("_spike", "_frozen", *[f"_x_{s}" for s in [*r.rated, *r.fenced]]), [*kn, "_n"]).where(F.col("_id") != F.col("_chosen"))
     replaced = replaced.withColumns({f"_x_{s}": _log(F.col(s)) for s in [*r.rated, *r.fenced]})
     held = F.lit(False)
     for s in r.still:
