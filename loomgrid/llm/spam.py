@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 LEAST_WORDS = 20
 #: Share of a page's words that makes it spam.
 SPAM_SHARE = 0.5
-#: A keyword: at most so many words, at least so often, and at least so large a share of the page's words.
-KEY_WORDS, KEY_TIMES, KEY_SHARE = 4, 6, 0.05
+#: A keyword or stock phrase occurs so often; a large keyword has at most so many words and alone so large a share of the page's words.
+KEY_TIMES, KEY_WORDS, KEY_SHARE = 6, 4, 0.05
+#: Least share of the page's words under all repeated phrases together.
+JOINT_SHARE = 0.05
 #: Share of a segment's characters under keywords from which the segment is stuffed.
 STUFFED = 0.4
+#: Segments filled by phrases: share of characters under them from which they count, and the most clause words among all such segments.
+FILLED = ((STUFFED, 1 / 6), (0.9, 1 / 3))
 #: Share of a list's characters under repeats from which clauseless lines are a list, and its least lines or words.
 LISTED, LIST_LINES, LIST_WORDS = 0.4, 5, 12
 #: Share of clause words from which a segment is built of clauses.
@@ -92,9 +96,8 @@ class Automaton:
             if self.count[s] >= times:
                 yield self.end[s], self.length[s], self.count[s]
 
-    def covered(self, sequence: list, times: int) -> list[bool]:
-        """Which elements lie in a substring that occurs at least ``times``: at each end the longest such suffix."""
-        marks = [0] * (len(sequence) + 1)
+    def suffixes(self, sequence: list, times: int) -> Iterator[tuple[int, int]]:
+        """The longest substring that occurs at least ``times`` at each end where there is one: (first, last position)."""
         s = size = 0
         for at, x in enumerate(sequence):
             s, size = self.nexts[s][x], size + 1
@@ -102,24 +105,34 @@ class Automaton:
                 s = self.link[s]
                 size = self.length[s]
             if s and size:
-                marks[at - size + 1] += 1
-                marks[at + 1] -= 1
-        depth, out = 0, []
-        for m in marks[:-1]:
-            depth += m
-            out.append(depth > 0)
-        return out
-
-
-def _keywords(sequence: list[str]) -> set[tuple[str, ...]]:
-    """Short repeated maximal substrings without clause words that make up a share of the page."""
-    n = len(sequence)
-    tally = Counter(sequence)
+                yield at - size + 1, at
+
+    def covered(self, sequence: list, times: int) -> list[bool]:
+        """Which elements lie in a substring that occurs at least ``times``: at each end the longest such suffix."""
+        return _marked(self.suffixes(sequence, times), len(sequence))
+
+
+def _marked(spans: Iterable[tuple[int, int]], n: int) -> list[bool]:
+    """Which of n positions lie in one of the spans (first, last)."""
+    marks = [0] * (n + 1)
+    for first, last in spans:
+        marks[first] += 1
+        marks[last + 1] -= 1
+    depth, out = 0, []
+    for m in marks[:-1]:
+        depth += m
+        out.append(depth > 0)
+    return out
+
+
+def _large(automaton: Automaton, sequence: list, n: int) -> set[tuple[str, ...]]:
+    """Short repeated maximal substrings without clause words that each make up a share of the page's n words."""
+    tally = Counter(w for w in sequence if isinstance(w, str))
     least = max(KEY_TIMES, KEY_SHARE * n / KEY_WORDS)
     if sum(c for w, c in tally.items() if c >= least and w not in CLAUSE_WORDS) < 0.5 * STUFFED * SPAM_SHARE * n:
         return set()  # then no set of keywords can cover enough
     found = set()
-    for end, size, times in Automaton(sequence).repeats(KEY_TIMES):
+    for end, size, times in automaton.repeats(KEY_TIMES):
         if size <= KEY_WORDS and times * size >= KEY_SHARE * n:
             key = tuple(sequence[end - size + 1 : end + 1])
             if not CLAUSE_WORDS.intersection(key) and any(not w.isdigit() for w in key):
@@ -127,6 +140,25 @@ def _keywords(sequence: list[str]) -> set[tuple[str, ...]]:
     return found
 
 
+def _phrases(automaton: Automaton, sequence: list) -> Iterator[tuple[int, int]]:
+    """Spans of the repeated maximal substrings, of any length, without the clause words at their ends; two words at least."""
+    ahead, plain = [len(sequence)] * (len(sequence) + 1), [0]
+    for i in range(len(sequence) - 1, -1, -1):
+        ahead[i] = ahead[i + 1] if sequence[i] in CLAUSE_WORDS else i
+    for w in sequence:
+        plain.append(plain[-1] + (isinstance(w, str) and w not in CLAUSE_WORDS and not w.isdigit()))
+    for first, last in automaton.suffixes(sequence, KEY_TIMES):
+        first = ahead[first]
+        if first < last and sequence[last] not in CLAUSE_WORDS and plain[last + 1] > plain[first]:
+            yield first, last
+
+
+def _chars(ws: list[str], hit: list[bool]) -> float:
+    """Share of a segment's characters that are marked."""
+    total = sum(map(len, ws))
+    return sum(len(w) for w, h in zip(ws, hit) if h) / total if total else 0.0
+
+
 def _under(ws: list[str], keys: set[tuple[str, ...]]) -> float:
     """Share of the characters of a segment that lie under keywords."""
     hit = [False] * len(ws)
@@ -134,8 +166,29 @@ def _under(ws: list[str], keys: set[tuple[str, ...]]) -> float:
         for i in range(len(ws) - size + 1):
             if tuple(ws[i : i + size]) in keys:
                 hit[i : i + size] = [True] * size
-    total = sum(map(len, ws))
-    return sum(len(w) for w, h in zip(ws, hit) if h) / total if total else 0.0
+    return _chars(ws, hit)
+
+
+def _stuffed(parts: list[list[str]]) -> list[bool]:
+    """Which segments large keywords fill, or all repeated phrases together where these are no repeated clauses."""
+    n = sum(map(len, parts))
+    sequence: list = []
+    starts = []
+    for i, ws in enumerate(parts):
+        starts.append(len(sequence))
+        sequence += [*ws, i]  # a border of its own: no phrase crosses it
+    automaton = Automaton(sequence)
+    keys = _large(automaton, sequence, n)
+    out = [_under(ws, keys) >= STUFFED for ws in parts] if keys else [False] * len(parts)
+    hit = _marked(_phrases(automaton, sequence), len(sequence))
+    if sum(hit) >= JOINT_SHARE * n:
+        cover = [_chars(ws, hit[at : at + len(ws)]) for ws, at in zip(parts, starts)]
+        for least, most in FILLED:
+            full = [c >= least for c in cover]
+            clauses = sum(w in CLAUSE_WORDS for ws, f in zip(parts, full) if f for w in ws)
+            if clauses <= most * sum(len(ws) for ws, f in zip(parts, full) if f):
+                out = [o or f for o, f in zip(out, full)]
+    return out
 
 
 def _table(line: str) -> bool:
@@ -192,10 +245,9 @@ def spam_share(text: str | None) -> tuple[int, float]:
             if sum(len(w) for w, m in zip(sequence, marks) if m) >= LISTED * size * (0.5 if priced else 1.0):
                 listed.update(run)
     bad += sum(len(segments[i][1]) for i in listed)
-    rest = [i for i, (raw, _) in enumerate(segments) if i not in listed and not _table(raw) and not _STATEMENT.search(raw)]
-    keys = _keywords([w for i in rest for w in segments[i][1]]) if bad <= SPAM_SHARE * total else set()
-    if keys:
-        bad += sum(len(segments[i][1]) for i in rest if _under(segments[i][1], keys) >= STUFFED)
+    rest = [ws for i, (raw, ws) in enumerate(segments) if i not in listed and not _table(raw) and not _STATEMENT.search(raw)]
+    if bad <= SPAM_SHARE * total:
+        bad += sum(len(ws) for ws, f in zip(rest, _stuffed(rest)) if f)
     return total, bad / total
 
 
@@ -204,12 +256,14 @@ def spam_pages(documents: DataFrame, id: str, text: str, share: float = SPAM_SHA
 
     Links with their anchors, tags and runs of tickers count where they stand. Lines without clauses are
     a list of offers or tags if their suffix automaton shows that repeated substrings cover much of their characters. In the rest of a
-    page the automaton gives the repeated maximal substrings without clause words that make up a share of the
-    page, its keywords; a sentence or line whose characters lie mostly under keywords, and which so leaves no
-    room for a clause, is stuffed. Rows of data, code and sentences are left alone.
+    page the automaton gives the repeated maximal substrings, its keywords and stock phrases. A sentence or line is stuffed
+    if two fifths of its characters lie under large keywords (short, without clause words, alone a twentieth of the page), or
+    under all repeated phrases together (of any length, without the clause words at their ends); the latter only where at
+    most a sixth of the words of the sentences so filled are clause words, or a third where nine tenths of each are filled:
+    long articles repeat phrases too. Rows of data, code and prose are left alone.
 
     Distribution: pages are independent, measured where they are read; nothing is shuffled. The automaton is linear in
-    the page's words; it is not built where word counts prove that no keyword can be large enough. Whole pages count.
+    the page's words; Whole pages count.
 
     Nulls: a null or empty text, or one of fewer than 20 words, is no spam. A null id comes out as null. A page
     delivered twice comes out twice. Empty in, empty out. Other columns are ignored.

@@ -52,3 +52,14 @@ def test_automaton_counts_substrings():
     found = {text[e - n + 1 : e + 1]: c for e, n, c in a.repeats(2)}
     assert found["abra"] == 2 and found["a"] == 5 and "bra" not in found
     assert "".join(c for c, m in zip(text, a.covered(list(text), 2)) if m) == "abraaabra"
+
+
+def test_many_small_keywords_in_short_sentences():
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    keys = [f"best {name(i)}er {name(7 * i)}zoo" for i in range(25)]
+    page = " ".join(f"Get {keys[i % 25]} x{name(i)} y{name(i)}." for i in range(500))  # each 2 % of the words, half of them together
+    assert spam_share(page)[1] > 0.9
+
+
+def test_one_sentence_repeated():
+    assert spam_share("The best stock screener for factor investors is available on our site today. " * 50)[1] > 0.9
