@@ -127,10 +127,6 @@ def _marked(spans: Iterable[tuple[int, int]], n: int) -> list[bool]:
 
 def _large(automaton: Automaton, sequence: list, n: int) -> set[tuple[str, ...]]:
     """Short repeated maximal substrings without clause words that each make up a share of the page's n words."""
-    tally = Counter(w for w in sequence if isinstance(w, str))
-    least = max(KEY_TIMES, KEY_SHARE * n / KEY_WORDS)
-    if sum(c for w, c in tally.items() if c >= least and w not in CLAUSE_WORDS) < 0.5 * STUFFED * SPAM_SHARE * n:
-        return set()  # then no set of keywords can cover enough
     found = set()
     for end, size, times in automaton.repeats(KEY_TIMES):
         if size <= KEY_WORDS and times * size >= KEY_SHARE * n:
@@ -169,6 +165,27 @@ def _under(ws: list[str], keys: set[tuple[str, ...]]) -> float:
     return _chars(ws, hit)
 
 
+def _within_reach(parts: list[list[str]]) -> list[bool]:
+    """Segments that keywords and phrases could fill: a true bound, as all parts of a repeat are as frequent as it is.
+
+    A word under a keyword is one of a frequent pair of neighbours, or alone a large keyword.
+    """
+    n = sum(map(len, parts))
+    words = Counter(w for ws in parts for w in ws)
+    alone = {w for w, c in words.items() if c >= KEY_TIMES and c >= KEY_SHARE * n and w not in CLAUSE_WORDS}
+    pairs = Counter(p for ws in parts for p in zip(ws, ws[1:]))
+    frequent = {p for p, c in pairs.items() if c >= KEY_TIMES}
+    out = []
+    for ws in parts:
+        hit = [w in alone for w in ws]
+        if frequent:
+            for i, p in enumerate(zip(ws, ws[1:])):
+                if p in frequent:
+                    hit[i] = hit[i + 1] = True
+        out.append(_chars(ws, hit) >= STUFFED)
+    return out
+
+
 def _stuffed(parts: list[list[str]]) -> list[bool]:
     """Which segments large keywords fill, or all repeated phrases together where these are no repeated clauses."""
     n = sum(map(len, parts))
@@ -198,8 +215,11 @@ def _table(line: str) -> bool:
     return len(cells) >= 3 and numbers >= 2 and numbers >= 0.4 * len(cells)
 
 
-def spam_share(text: str | None) -> tuple[int, float]:
-    """Words of a page, and the share of them in stuffed segments and in lists of links, tags, tickers or offers."""
+def spam_share(text: str | None, least: float = 0.0) -> tuple[int, float]:
+    """Words of a page, and the share of them in stuffed segments and in lists of links, tags, tickers or offers.
+
+    A share that cannot exceed ``least`` may come out smaller than it is.
+    """
     if not text:
         return 0, 0.0
     total = len(_WORD.findall(text))
@@ -233,8 +253,6 @@ def spam_share(text: str | None) -> tuple[int, float]:
             loose[-1].append(len(segments) - 1)
         elif loose[-1]:
             loose.append([])
-    if bad > SPAM_SHARE * total:
-        return total, bad / total
     listed: set[int] = set()
     for run in loose:
         sequence = [w for i in run for w in segments[i][1]]
@@ -246,7 +264,8 @@ def spam_share(text: str | None) -> tuple[int, float]:
                 listed.update(run)
     bad += sum(len(segments[i][1]) for i in listed)
     rest = [ws for i, (raw, ws) in enumerate(segments) if i not in listed and not _table(raw) and not _STATEMENT.search(raw)]
-    if bad <= SPAM_SHARE * total:
+    reach = sum(len(ws) for ws, r in zip(rest, _within_reach(rest)) if r)
+    if reach and bad + reach > least * total:
         bad += sum(len(ws) for ws, f in zip(rest, _stuffed(rest)) if f)
     return total, bad / total
 
@@ -263,7 +282,8 @@ def spam_pages(documents: DataFrame, id: str, text: str, share: float = SPAM_SHA
     long articles repeat phrases too. Rows of data, code and prose are left alone.
 
     Distribution: pages are independent, measured where they are read; nothing is shuffled. The automaton is linear in
-    the page's words; Whole pages count.
+    the page's words; it is not built where the counts of neighbouring words prove that keywords can fill too few segments
+    for the page to exceed ``share``. Whole pages count.
 
     Nulls: a null or empty text, or one of fewer than 20 words, is no spam. A null id comes out as null. A page
     delivered twice comes out twice. Empty in, empty out. Other columns are ignored.
@@ -272,7 +292,7 @@ def spam_pages(documents: DataFrame, id: str, text: str, share: float = SPAM_SHA
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            both = [spam_share(t) for t in pdf["t"]]
+            both = [spam_share(t, share) for t in pdf["t"]]
             out = pd.DataFrame({"i": pdf["i"], "n_words": [n for n, _ in both], "spam_share": [s for _, s in both]})
             yield out[out["spam_share"] > share]
 

@@ -63,3 +63,19 @@ def test_many_small_keywords_in_short_sentences():
 
 def test_one_sentence_repeated():
     assert spam_share("The best stock screener for factor investors is available on our site today. " * 50)[1] > 0.9
+
+
+def test_little_stuffing_beside_links():
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    links = " ".join(f"www.a{name(i)}.test/b{name(i)}" for i in range(105))  # 4 words each
+    article = " ".join(f"the {name(i)} was {name(i + 900)}." for i in range(110))
+    key = "indicator portfolio analytics benchmark"
+    stuffed = " ".join(f"the {key} of " + " ".join(f"{name(i * 9 + k + 3000)}" for k in range(8)) + "." for i in range(10))
+    n, share = spam_share(f"{links}\n{article}\n{stuffed}")
+    assert n == 1000 and share == pytest.approx(0.56)
+
+
+def test_share_is_whole_above_the_threshold(spark):
+    page = " ".join(f"www.shop{i}.test/tag/{i}" for i in range(20)) + "\n" + SPAM[0]
+    assert spam_share(page)[1] == 1.0
+    assert spam_pages(spark.createDataFrame([(1, page)], "doc_id bigint, text string"), "doc_id", "text", 0.9).count() == 1
