@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions.stats import centred_corr, percent_rank_avg
 from loomgrid.plans.evaluation import DAILY_SQL, SEGMENT_SQL, _rounded, _sql, daily_ic, ic_table, segment_ic, signal_sql, signal_table, train_sign
 from loomgrid.plans.redundancy import mean_corr
-from loomgrid.plans.style import style_panel, style_summary
+from loomgrid.plans.style import LEAST, STYLES, style_panel, style_summary
 from loomgrid.session import stage
 from loomgrid.sources.panel import DEFAULT_SPLIT, GRID_SQL, market_grid
 
@@ -270,11 +270,11 @@ def select_greedy(spark: SparkSession, folder: str) -> DataFrame:
     return greedy_selection(candidates(ic_table(signals), least_dates=50), mean_corr(signals, least=3).where("segment = 'valid'"), cap=4)
 
 
-def composite_style(spark: SparkSession, folder: str) -> DataFrame:
-    """What the composite keeps after two styles are regressed out, on matched dates."""
+def composite_style(spark: SparkSession, folder: str, names: Sequence[str] = STYLES, least: int = LEAST) -> DataFrame:
+    """What the composite keeps after the styles are regressed out, on matched dates."""
     targets = market_grid(spark, folder).where("present").select("market", "asset", "date", F.round("target", 10).alias("target"))
     scores = composite_scores(spark, folder).join(targets, ["market", "asset", "date"]).select(F.lit("composite").alias("factor"), "market", "asset", "date", F.col("score").alias("value"), "target")
-    return style_summary(scores, style_panel(spark, folder), least=4, names=("volatility", "reversal"))
+    return style_summary(scores, style_panel(spark, folder), least=least, names=names)
 
 
 def backtest_grid(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,6 +16,8 @@ from loomgrid.sources.panel import DEFAULT_SPLIT, ENTITY, GRID_SQL, Split, marke
 
 STYLES = ("beta", "volatility", "momentum", "reversal", "liquidity")
 WINSOR = (0.01, 0.99)
+#: Fewest names of a date in the registered regressions: one degree of freedom is left beside the styles and the intercept.
+LEAST = len(STYLES) + 2
 
 
 def raw_styles(grid: DataFrame) -> DataFrame:
@@ -57,7 +59,7 @@ def winsor_z(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ("mark
 
 
 def style_panel(spark: SparkSession, folder: str) -> DataFrame:
-    return winsor_z(raw_styles(market_grid(spark, folder)), STYLES)
+    return winsor_z(stage(raw_styles(market_grid(spark, folder)), "raw_styles"), STYLES)
 
 
 def residuals(signals: DataFrame, styles: DataFrame, names: Sequence[str] = STYLES, least: int = 30) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +100,11 @@ def style_summary(signals: DataFrame, styles: DataFrame, split: Split = DEFAULT_
 
     Ranks here are ordinal (ties in asset order), over assets with a target.
     """
-    rows, quality = residuals(stage(signals, "signals"), stage(styles, "styles"), names, least)
+    at = ["market", "asset", "date"]
+    styles = styles.dropna(subset=list(names)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("market", "date")))
+    styles = stage(styles.where(F.col("_n") >= least).drop("_n"), "styles")  # no other row enters a regression
+    signals = signals.where(F.col("value").isNotNull()).join(styles.select(*at), at, "left_semi")
+    rows, quality = residuals(stage(signals, "signals"), styles, names, least)
     key = ["factor", "market", "date"]
     both = rows.where(F.col("target").isNotNull())
     both = both.withColumns({f"r_{c}": ordinal_rank(F.col(c), key, "asset") for c in ("value", "residual", "target")})
@@ -140,7 +146,7 @@ QUERIES = {
     "style_panel": lambda s, d: _rounded(style_panel(s, d), 6),
     "style_coverage": lambda s, d: _rounded(coverage(style_panel(s, d))),
     "style_r2_volatility": lambda s, d: _rounded(one_style_r2(signal_table(s, d, NAMES), style_panel(s, d), "volatility"), 6),
-    "style_summary": lambda s, d: _rounded(style_summary(signal_table(s, d, NAMES), style_panel(s, d), least=4, names=("volatility", "reversal")), 6),
+    "style_summary": lambda s, d: _rounded(style_summary(signal_table(s, d), style_panel(s, d), least=LEAST), 6),
 }
 
 _B = lambda n: f"OVER (PARTITION BY g.market, asset ORDER BY g.date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
