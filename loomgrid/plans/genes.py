@@ -8,46 +8,65 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.functions.expr import ExpressionError, complexity, genes, parse_tree, render_gene, walk
-from loomgrid.plans.factors import _TREES
+from loomgrid.functions.expr import ExpressionError, complexity, genes, read_expression, render_gene, walk
+from loomgrid.session import stage
 from loomgrid.sources.tables import table
 from loomgrid.streaming.bars import bars
 
 
-def gene_table(zoo: DataFrame, expression: str) -> DataFrame:
-    """One row per expression and distinct gene: ``expression, gene, size, inner`` (the genes inside it). Unreadable ones are left out."""
+def readings(zoo: DataFrame, expression: str) -> DataFrame:
+    """Every distinct expression with its tree in one spelling, NULL where it cannot be read: ``expression, tree``."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            trees = []
+            for text in pdf["expression"]:
+                try:
+                    trees.append(str(read_expression(text)))
+                except (ExpressionError, TypeError, RecursionError):
+                    trees.append(None)
+            yield pd.DataFrame({"expression": pdf["expression"], "tree": pd.Series(trees, dtype=object)})
+
+    return zoo.select(F.col(expression).alias("expression")).distinct().mapInPandas(each, "expression string, tree string")
+
+
+def gene_table(trees: DataFrame, tree: str) -> DataFrame:
+    """One row per tree and distinct gene: ``expression, gene, size, inner`` (the genes inside it)."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for text in pdf["e"]:
-                try:
-                    tree = parse_tree(text, check=False)
-                except (ExpressionError, TypeError):
-                    continue
-                for g in genes(tree):
+                for g in genes(read_expression(text)):
                     rows.append((text, render_gene(g), complexity(g), [render_gene(x) for x in set(walk(g)) if x.op != "field" and x != g]))
             yield pd.DataFrame(rows, columns=["expression", "gene", "size", "inner"])
 
-    return zoo.select(F.col(expression).alias("e")).distinct().mapInPandas(each, "expression string, gene string, size int, inner array<string>")
+    return trees.select(F.col(tree).alias("e")).mapInPandas(each, "expression string, gene string, size int, inner array<string>")
 
 
 def frequent_structures(zoo: DataFrame, expression: str, top: int = 10) -> DataFrame:
-    """The most frequent closed genes: support is the share of expressions that have the gene; a gene is closed if no larger one around it is as frequent."""
-    rows = gene_table(zoo, expression)
-    n = zoo.select(expression).distinct().count()
+    """The most frequent closed genes: support is the share of expressions that have the gene; a gene is closed if no larger one around it is as frequent.
+
+    Spellings of one tree are one expression. Unreadable texts count among the expressions; their number is in ``unreadable``.
+    """
+    read = stage(readings(zoo, expression), "readings")
+    trees = read.where("tree IS NOT NULL").select("tree").distinct()
+    rows = stage(gene_table(trees, "tree"), "genes")
+    unread = read.where("tree IS NULL").count()
+    n = trees.count() + unread
     support = rows.groupBy("gene", "size").agg(F.count(F.lit(1)).alias("c"))
     around = rows.select("gene", F.explode("inner").alias("part")).distinct().join(support.select("gene", "c"), "gene").select("part", F.col("c").alias("oc")).distinct()
     closed = support.join(around, (F.col("gene") == F.col("part")) & (F.col("c") == F.col("oc")), "left_anti")
-    return closed.select("gene", "size", (F.col("c") / F.lit(n)).alias("support")).orderBy(F.desc("support"), F.desc("size"), "gene").limit(top)
+    return closed.select("gene", "size", (F.col("c") / F.lit(n)).alias("support"), F.lit(unread).cast("bigint").alias("unreadable")).orderBy(F.desc("support"), F.desc("size"), "gene").limit(top)
 
 
-def _zoo(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t,) for texts in _TREES.values() for t in texts], "expression string")
+def _zoo(spark: SparkSession, folder: str) -> DataFrame:
+    factors = table(spark, folder, "mining_run").select(F.explode("factors").alias("f"))
+    return factors.where("f.type = 'expression' AND f.expression IS NOT NULL").select("f.expression")
 
 
 QUERIES = {
-    "frequent_structures": lambda s, d: frequent_structures(_zoo(s), "expression"),
+    "frequent_structures": lambda s, d: frequent_structures(_zoo(s, d), "expression"),
     "event_bars": lambda s, d: bars(table(s, d, "events")),
     "event_json": lambda s, d: table(s, d, "events").select("event_id", F.json_object_keys("props").alias("keys")).select(F.size("keys").alias("n_keys")).groupBy("n_keys").agg(F.count(F.lit(1)).alias("n")),
 }
