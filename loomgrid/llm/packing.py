@@ -20,8 +20,6 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 BLOCK = 20_000
 #: A container filled to this share is closed; the items of others take part in the next round.
 CLOSED = 0.995
-#: Fuller containers that the search tries to fill from the emptiest one.
-TRIED = 64
 
 
 def token_counts(documents: DataFrame, id: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -86,39 +84,104 @@ def _exchange(src: list[int], dst: list[int], room: int, sizes: np.ndarray) -> t
     return found
 
 
-def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, tried: int = TRIED) -> list[list[int]]:
+class _Takers:
+    """Underfull containers by what they could take: each sum t of up to two of their items (or none) with the room above it.
+
+    A container can take part in an exchange for a sum g of given items if t < g <= t + room; against two given items it
+    gives one back. Entries of changed or removed containers stay until half are dead.
+    """
+
+    def __init__(self, capacity: int) -> None:
+        self.capacity = capacity
+        self.entries: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.version: dict[int, int] = {}
+        self.fresh: list[int] = []
+        self._pack([])
+
+    def _pack(self, owners: list[int]) -> None:
+        self.owner, self.flat, self.alive, self.fresh = [], [np.zeros((3, 0), dtype="int64")] * 2, np.zeros(0, dtype=bool), []
+        self.version = {}
+        self._append(owners)
+
+    def _append(self, owners: list[int]) -> None:
+        first = len(self.owner)
+        self.owner += owners
+        self.alive = np.concatenate([self.alive, np.ones(len(owners), dtype=bool)])
+        self.version.update(zip(owners, range(first, first + len(owners))))
+        for which in (0, 1):
+            parts = [np.vstack([e, np.full((1, e.shape[1]), first + i)]) for i, e in enumerate(self.entries[d][which] for d in owners)]
+            self.flat[which] = np.concatenate([self.flat[which], *parts], axis=1)
+
+    def put(self, d: int, items: np.ndarray, fill: int) -> None:
+        self.drop(d)
+        values, counts = np.unique(items[items > 0], return_counts=True)
+        two = (values[:, None] + values[None, :])[np.triu_indices(len(values), 1)]
+        sums = np.unique(np.concatenate([[0], values, two, 2 * values[counts > 1]]).astype("int64"))
+        one = np.concatenate([[0], values]).astype("int64") if (items == 0).any() else values.astype("int64")
+        room = self.capacity - fill
+        self.entries[d] = (np.vstack([sums, sums + room]), np.vstack([one, one + room]))
+        self.fresh.append(d)
+
+    def drop(self, d: int) -> None:
+        self.entries.pop(d, None)
+        if d in self.version:
+            self.alive[self.version.pop(d)] = False
+
+    def find(self, given: np.ndarray) -> set[int]:
+        """Containers that could take one or two of the given items."""
+        new = [d for d in dict.fromkeys(self.fresh) if d in self.entries and d not in self.version]
+        self.fresh = []
+        if len(self.alive) > 2 * len(self.entries) + 64:
+            self._pack(list(self.entries))
+        elif new:
+            self._append(new)
+        ones, counts = np.unique(given, return_counts=True)
+        pairs = np.unique(np.concatenate([(ones[:, None] + ones[None, :])[np.triu_indices(len(ones), 1)], 2 * ones[counts > 1]]))
+        found: set[int] = set()
+        for sums, (low, high, who) in ((ones, self.flat[0]), (pairs, self.flat[1])):
+            if len(sums):
+                k = np.searchsorted(sums, low, "right")
+                fits = (k < len(sums)) & (sums[np.minimum(k, len(sums) - 1)] <= high)
+                found.update(self.owner[v] for v in np.unique(who[fits]) if self.alive[v])
+        return found
+
+
+def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Moves and exchanges (one for one, two for one, one for two) from the emptiest container into fuller ones.
 
     Each step makes a fuller container fuller at the cost of an emptier one, so the sum of squared fills grows
-    and the search ends. A container from which nothing more can be given is left; an emptied one is gone.
+    and the search ends. All underfull containers are looked at, the fullest that can take something first. A container from
+    which nothing more can be given is left; an emptied one is gone.
     """
     fill = [int(sizes[b].sum()) for b in bins]
     full = [i for i, f in enumerate(fill) if f >= capacity]
     queue = sorted((f, i) for i, f in enumerate(fill) if f < capacity)
+    takers = _Takers(capacity)
+    for _, d in queue:
+        takers.put(d, sizes[bins[d]], fill[d])
     done = []
     while queue:
         f, s = queue.pop(0)
-        moved = True
-        while moved and bins[s]:
-            moved = False
-            for k in range(len(queue) - 1, max(-1, len(queue) - 1 - tried), -1):
-                d = queue[k][1]
-                step = _exchange(bins[s], bins[d], capacity - fill[d], sizes)
-                if step is None:
-                    continue
-                give = [bins[s][x] for x in step[0]]
-                take = [bins[d][x] for x in step[1]]
-                bins[s] = [x for x in bins[s] if x not in give] + take
-                bins[d] = [x for x in bins[d] if x not in take] + give
-                change = int(sizes[give].sum() - (sizes[take].sum() if take else 0))
-                fill[s], fill[d] = fill[s] - change, fill[d] + change
-                queue.pop(k)
-                if fill[d] < capacity:
-                    insort(queue, (fill[d], d))
-                else:
-                    full.append(d)
-                moved = True
+        takers.drop(s)
+        while bins[s]:
+            able = takers.find(sizes[bins[s]])
+            if not able:
                 break
+            d = max(able, key=lambda i: (fill[i], i))
+            step = _exchange(bins[s], bins[d], capacity - fill[d], sizes)
+            give = [bins[s][x] for x in step[0]]
+            take = [bins[d][x] for x in step[1]]
+            queue.pop(bisect_left(queue, (fill[d], d)))
+            bins[s] = [x for x in bins[s] if x not in give] + take
+            bins[d] = [x for x in bins[d] if x not in take] + give
+            change = int(sizes[give].sum() - (sizes[take].sum() if take else 0))
+            fill[s], fill[d] = fill[s] - change, fill[d] + change
+            if fill[d] < capacity:
+                insort(queue, (fill[d], d))
+                takers.put(d, sizes[bins[d]], fill[d])
+            else:
+                full.append(d)
+                takers.drop(d)
         if bins[s]:
             done.append(s)
     return [bins[i] for i in full + done if bins[i]]

@@ -63,3 +63,33 @@ def test_token_counts_are_of_whole_texts(spark):
     texts = [(1, "hello world"), (2, None), (3, ""), (4, "hello world" * 5000)]
     got = {r.id: r.n_tokens for r in token_counts(spark.createDataFrame(texts, "id bigint, text string"), "id", "text").collect()}
     assert got[1] == 2 and got[2] == 0 and got[3] == 0 and got[4] > 9000
+
+
+def test_search_goes_through_all_underfull_containers():
+    sizes = np.array([94] * 100 + [90] + [5])  # the only container with room for 5 is the emptiest of 101
+    out = local_search([[i] for i in range(102)], sizes, 98)
+    assert len(out) == 101 and sorted(sum(sizes[b]) for b in out)[-1] == 95
+
+
+def test_search_equals_trying_every_partner():
+    from loomgrid.llm.packing import _exchange
+
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        sizes = rng.integers(0, 70, 80)
+        bins = best_fit(sizes, 100) if rng.random() < 0.5 else [[i] for i in range(80)]
+        want, fill = [list(b) for b in bins], [int(sizes[b].sum()) for b in bins]
+        queue = sorted((f, i) for i, f in enumerate(fill) if f < 100)
+        while queue:
+            _, s = queue.pop(0)
+            while True:
+                steps = ((d, _exchange(want[s], want[d], 100 - fill[d], sizes)) for _, d in reversed(queue))
+                d, step = next(((d, x) for d, x in steps if x), (None, None))
+                if step is None:
+                    break
+                give, take = [want[s][x] for x in step[0]], [want[d][x] for x in step[1]]
+                want[s], want[d] = [x for x in want[s] if x not in give] + take, [x for x in want[d] if x not in take] + give
+                fill[s], fill[d] = int(sizes[want[s]].sum()), int(sizes[want[d]].sum())
+                queue = sorted((fill[i], i) for _, i in queue if fill[i] < 100)
+        got = local_search([list(b) for b in bins], sizes, 100)
+        assert sorted(map(sorted, got)) == sorted(sorted(b) for b in want if b)
