@@ -136,8 +136,7 @@ def lookahead(bars: DataFrame, factors: dict[str, Node], cuts: Sequence[date], e
     return out
 
 
-CUTS = (date(2019, 6, 28), date(2022, 12, 30))
-_CLEAN = {n: SIGNALS[n] for n in ("momentum", "range", "tree_corr")}
+CUTS = (date(2019, 6, 28), date(2022, 12, 30), date(2024, 12, 31))
 
 
 def _peek(df: DataFrame) -> DataFrame:
@@ -182,9 +181,9 @@ QUERIES = {
     "membership": lambda s, d: member_rows(_bars(s, d), _spells(s, d)).select("market", "asset", "date", "close"),
     "mining_panel": lambda s, d: mining_panel(_bars(s, d), _spells(s, d)).select("market", "asset", "date", "close"),
     "tampered_panel": lambda s, d: _rounded(tamper(_bars(s, d), CUTS[0]).select("market", "asset", "date", "close", "volume"), 6),
-    "lookahead_clean": lambda s, d: _rounded(lookahead(_bars(s, d), _CLEAN, CUTS)),
-    "lookahead_scaled": lambda s, d: lookahead(_bars(s, d), {"range": _CLEAN["range"]}, CUTS[1:], _peek, scale_future).select("market", "factor", "cut", "status"),
-    "lookahead_caught": lambda s, d: lookahead(_bars(s, d), {"range": _CLEAN["range"]}, CUTS[:1], _peek).select("market", "factor", "cut", "status"),
+    "lookahead_clean": lambda s, d: _rounded(lookahead(_bars(s, d), SIGNALS, CUTS)),
+    "lookahead_scaled": lambda s, d: lookahead(_bars(s, d), {"range": SIGNALS["range"]}, CUTS[1:2], _peek, scale_future).select("market", "factor", "cut", "status"),
+    "lookahead_caught": lambda s, d: lookahead(_bars(s, d), {"range": SIGNALS["range"]}, CUTS[:1], _peek).select("market", "factor", "cut", "status"),
     "code_factor": lambda s, d: _rounded(code_factor(_bars(s, d), lambda g: g["close"].rolling(5, min_periods=5).mean() / g["close"].where(g["close"] > 0) - 1), 6),
 }
 _CUR = "WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market, asset, date ORDER BY loaded_at DESC, row_id) AS rn FROM download_all WHERE date IS NOT NULL AND asset IS NOT NULL) WHERE rn = 1)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,20 +41,31 @@ def block_indices(n: int, block: int, draws: int, seed: int) -> np.ndarray:
     return ((starts[:, :, None] + np.arange(block)) % n).reshape(draws, -1)[:, :n]
 
 
-def block_bootstrap(panel: DataFrame, stat: str = "mean", block: int = 20, draws: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def block_bootstrap(panel: DataFrame, stat: str = "mean", block: int = 20, draws: int = 2000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Pooled statistic with a percentile interval and the shift-method p-value: one row.
 
-    Draws are of days of the common calendar. A draw is the number of times that each day occurs in it, so the join
-    is by day with those weights, and the statistics are weighted sums; the drawn rows are not materialised. Days and draws
-    are few by nature; curves may be many.
+    Draws are of days of the common calendar. A draw is the number of times that each day occurs in it, and the
+    statistics of a curve are sums over its days with those weights, one matrix product per curve and hundred draws; the drawn
+    rows are not materialised. Days and draws are few by nature; curves may be many.
     """
-    spark = panel.sparkSession
     days = [r[0] for r in panel.select("date").distinct().orderBy("date").collect()]  # trading days
-    idx = block_indices(len(days), block, draws, seed)
-    counts = [(int(b), days[int(t)], int(c)) for b in range(draws) for t, c in zip(*np.unique(idx[b], return_counts=True))]
-    weights = spark.createDataFrame(counts, "draw int, date date, c int")
-    rows = panel.where(F.col("ret").isNotNull()).join(F.broadcast(weights) if len(counts) < 1_000_000 else weights, "date")
-    sums = rows.groupBy("draw", "market", "seed").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("ret")).alias("s"), F.sum(F.col("c") * F.col("ret") * F.col("ret")).alias("q"))
+    place, idx = {d: t for t, d in enumerate(days)}, block_indices(len(days), block, draws, seed).astype("int32")
+
+    def curve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at, ret, n = pdf["date"].map(place).to_numpy(), pdf["ret"].to_numpy(float), len(place)
+        sums = np.column_stack([np.bincount(at, x, n) for x in (np.ones(len(ret)), ret, ret * ret)])
+        parts = []
+        for lo in range(0, len(idx), 100):
+            rows = idx[lo : lo + 100]
+            times = np.bincount((rows + n * np.arange(len(rows))[:, None]).ravel(), minlength=n * len(rows)).reshape(len(rows), n)
+            parts.append(times @ sums)
+        out = pd.DataFrame(np.concatenate(parts), columns=["n", "s", "q"])
+        out.insert(0, "draw", np.arange(len(out), dtype="int32"))
+        return out[out["n"] > 0].assign(market=key[0], seed=key[1])
+
+    kinds = {f.name: f.dataType.simpleString() for f in panel.schema}
+    rows = panel.where(F.col("ret").isNotNull()).select("market", "seed", "date", "ret")
+    sums = rows.groupBy("market", "seed").applyInPandas(curve, f"draw int, n double, s double, q double, market {kinds['market']}, seed {kinds['seed']}")
     mean = F.col("s") / F.col("n")
     if stat == "mean":
         value = mean * TRADING_DAYS

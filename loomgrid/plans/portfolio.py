@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions.stats import centred_corr, percent_rank_avg
 from loomgrid.plans.evaluation import DAILY_SQL, SEGMENT_SQL, _rounded, _sql, daily_ic, ic_table, segment_ic, signal_sql, signal_table, train_sign
+from loomgrid.plans.factors import SIGNALS
 from loomgrid.plans.redundancy import mean_corr
 from loomgrid.plans.style import LEAST, STYLES, style_panel, style_summary
 from loomgrid.session import stage
@@ -104,7 +105,7 @@ def ic_weights(selected: DataFrame) -> DataFrame:
     return selected.withColumn("weight", F.when(F.sum(part).over(w) > 0, part / F.sum(part).over(w)).otherwise(1.0 / F.count(F.lit(1)).over(w)))
 
 
-def ridge_weights(signals: DataFrame, selected: DataFrame, alphas: Sequence[float] = (0.1, 1.0, 10.0, 100.0), least: int = 50) -> DataFrame:
+def ridge_weights(signals: DataFrame, selected: DataFrame, alphas: Sequence[float] = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0), least: int = 50) -> DataFrame:
     """Ridge on the training segment's complete rows, the penalty with the best mean validation IC, scaled to unit gross.
 
     Moments are summed by the engine per market; only the K x K system of a market, K its selected factors, is solved
@@ -244,11 +245,13 @@ def performance(daily: DataFrame, bench: DataFrame | None = None, by: Sequence[s
 # --- queries -----------------------------------------------------------------
 
 NAMES = ("momentum", "reversal", "range")
+#: Grid of the backtests: days between rebalancing, and costs in basis points.
+REBALANCE, COSTS = (1, 5, 10, 15, 20), (0.0, 5.0, 10.0, 20.0, 50.0)
 LONG, SHORT = Book(least=3, quantile=0.34), Book("long_short", least=2, quantile=0.34)
 
 
-def _selected(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    signals = stage(signal_table(spark, folder, NAMES), "signals")
+def _selected(spark: SparkSession, folder: str, names: Sequence[str] = NAMES) -> tuple[DataFrame, DataFrame]:
+    signals = stage(signal_table(spark, folder, names), "signals")
     segments = segment_ic(daily_ic(signals))
     sign = train_sign(segments).select("factor", "market", "sign")
     ic = segments.where("segment = 'valid'").select("factor", "market", "ic").join(sign, ["factor", "market"], "right").withColumn("ic", F.round(F.col("sign") * F.col("ic"), 10))
@@ -256,7 +259,7 @@ def _selected(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def composite_scores(spark: SparkSession, folder: str, how: str = "equal") -> DataFrame:
-    signals, selected = _selected(spark, folder)
+    signals, selected = _selected(spark, folder, tuple(SIGNALS) if how == "ridge" else NAMES)
     weights = {"equal": equal_weights, "ic": ic_weights}[how](selected) if how != "ridge" else ridge_weights(signals, selected)
     return composite(signals, weights.select("market", "factor", "sign", "weight"))
 
@@ -285,10 +288,10 @@ def backtest_grid(spark: SparkSession, folder: str) -> DataFrame:
     scores, returns = stage(composite_scores(spark, folder), "scores"), stage(_returns(spark, folder), "returns")
     out = None
     for kind, base in (("long_only", LONG), ("long_short", SHORT)):
-        for r in (5, 20):
+        for r in REBALANCE:
             book = Book(kind, base.quantile, base.least, r)
             daily = stage(backtest(scores, returns, book), "curve")
-            for cost in (0.0, 10.0, 50.0) if r == 20 else (10.0,):
+            for cost in COSTS if r == 20 else (10.0,):
                 net = F.col("gross") - F.col("turnover") * (cost / 1e4) - F.col("borrow_cost")
                 perf = performance(daily.withColumn("net", net)).select(F.lit(kind).alias("kind"), F.lit(r).alias("rebalance"), F.lit(cost).alias("cost_bps"), "market", "net_cagr", "net_sharpe", "turnover_annual")
                 perf = perf.withColumn("status", F.when(F.col("turnover_annual") > 0, "ok").otherwise("degenerate"))
