@@ -46,9 +46,10 @@ def as_known(
     The current version at a point of recorded time is, among the versions recorded by then, the one with the
     latest ``valid_from``, then the latest ``recorded``, then the smallest ``tie`` (an integer). In the plane of
     valid and recorded time a version that becomes current opens the region [valid_from, ever) x [recorded,
-    recorded of the next opening): these regions are disjoint and tile recorded time. Recorded time is laid
-    on a grid; each region is cut at the cell borders, so that a cell holds the region open at its start (its
-    carry) and those that open within it, and an event looks into its own cell only.
+    recorded of the next opening): these regions are disjoint and tile recorded time. They are not built here
+    (``rectangles`` builds them): the region that holds an event is that of the greatest version recorded by then, so a
+    running maximum takes their place. Recorded time is laid on a grid; an event needs the greatest version of earlier
+    cells (the carry) and the running maximum within its own cell.
 
     Distribution: versions are first reduced to one per entity and instant with partial aggregation; then
     events and versions meet in (entity, cell), so an entity with a third of all rows spreads over its cells.
