@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.llm.automata import Automata, marked
+
 #: Pages with fewer words are too short to judge.
 LEAST_WORDS = 20
 #: Share of a page's words that makes it spam.
@@ -26,6 +28,10 @@ FILLED = ((STUFFED, 1 / 6), (0.9, 1 / 3))
 LISTED, LIST_LINES, LIST_WORDS = 0.4, 5, 12
 #: Share of clause words from which a segment is built of clauses.
 CLAUSE = 0.15
+#: Least tickers of a run of tickers, and their share of its tokens.
+TICKERS, TICKER_SHARE = 5, 0.4
+#: Characters of whole pages whose automata are built at a time; a longer page is taken alone.
+SLICE_CHARS = 1_000_000
 
 #: Words that carry the clauses of English, German, French and Spanish.
 CLAUSE_WORDS = frozenset(
@@ -34,256 +40,391 @@ CLAUSE_WORDS = frozenset(
     au aux avec ce ces dans de des donc du elle en est et il la le les mais ne ont ou par parce pas pour que qui sa ses son sur un une était
     al con como cuando del desde el ella en entre era es esta este fue ha las los más no para pero por porque se según si sin su una y ya""".split()
 )
+#: Words that open a statement of code.
+CODE_WORDS = frozenset("def return import from class".split())
 
-_WORD = re.compile(r"[^\W_]+")
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\")\]]+|(?<![\w@.])[\w-]+(?:\.[\w-]+)+/[^\s<>\")\]]*", re.I)
 _ANCHOR = re.compile(r"\[[^\[\]\n]*\]\(\s*[^()\s]+\s*\)|<a\b[^<>]*>.*?</a\s*>", re.I | re.S)
 _MARKUP = re.compile(r"</?[a-z][^<>\n]*>", re.I)
-_TAG = re.compile(r"(?<!\w)#\w+")
 _TICKER = re.compile(r"^\W*(?:\d{4,8}\.[A-Z]{1,3}|[A-Z]{5,}(?:\.[A-Z]{1,2})?|\$[A-Z]{2,})\W*$")
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n")
-_NUMBER = re.compile(r"^\W*[\d.,:/%-]*\d[\d.,:/%-]*\W*$")
-_STATEMENT = re.compile(r"\w\(|\w\s*=\s*\S|^\s*(?:def|return|import|from|class)\b")
-_CODE = re.compile(r"[=(){}\[\]]|^\s*(?:def|return|import|from|class|select)\b", re.I)
-_PRICE = re.compile(r"[$€£]\s?\d|\d\s?[$€£]|\s\d+(?:[.,]\d+)?\s*$")
-_CELLS = re.compile(r"\s*[|;\t]\s*|\s*,\s+")
-
-
-class Automaton:
-    """The suffix automaton of a sequence: every distinct substring is a path, each state a class with its number of occurrences."""
-
-    def __init__(self, sequence: list) -> None:
-        nexts: list[dict] = [{}]
-        link, length, count, end = [-1], [0], [0], [-1]
-        last = 0
-        for at, x in enumerate(sequence):
-            cur = len(nexts)
-            nexts.append({})
-            length.append(length[last] + 1)
-            link.append(0)
-            count.append(1)
-            end.append(at)
-            p = last
-            while p != -1 and x not in nexts[p]:
-                nexts[p][x] = cur
-                p = link[p]
-            if p != -1:
-                q = nexts[p][x]
-                if length[p] + 1 == length[q]:
-                    link[cur] = q
-                else:
-                    copy = len(nexts)
-                    nexts.append(dict(nexts[q]))
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    count.append(0)
-                    end.append(end[q])
-                    while p != -1 and nexts[p].get(x) == q:
-                        nexts[p][x] = copy
-                        p = link[p]
-                    link[q] = link[cur] = copy
-            last = cur
-        for s in sorted(range(1, len(nexts)), key=length.__getitem__, reverse=True):
-            count[link[s]] += count[s]
-        self.nexts, self.link, self.length, self.count, self.end = nexts, link, length, count, end
-
-    def repeats(self, times: int) -> Iterator[tuple[int, int, int]]:
-        """Maximal substrings that occur at least ``times``: (last position of one occurrence, length, occurrences).
-
-        A state's longest substring cannot be extended to the left without losing occurrences.
-        """
-        for s in range(1, len(self.nexts)):
-            if self.count[s] >= times:
-                yield self.end[s], self.length[s], self.count[s]
-
-    def suffixes(self, sequence: list, times: int) -> Iterator[tuple[int, int]]:
-        """The longest substring that occurs at least ``times`` at each end where there is one: (first, last position)."""
-        s = size = 0
-        for at, x in enumerate(sequence):
-            s, size = self.nexts[s][x], size + 1
-            while s and (self.count[s] < times):
-                s = self.link[s]
-                size = self.length[s]
-            if s and size:
-                yield at - size + 1, at
-
-    def covered(self, sequence: list, times: int) -> list[bool]:
-        """Which elements lie in a substring that occurs at least ``times``: at each end the longest such suffix."""
-        return _marked(self.suffixes(sequence, times), len(sequence))
-
-
-def _marked(spans: Iterable[tuple[int, int]], n: int) -> list[bool]:
-    """Which of n positions lie in one of the spans (first, last)."""
-    marks = [0] * (n + 1)
-    for first, last in spans:
-        marks[first] += 1
-        marks[last + 1] -= 1
-    depth, out = 0, []
-    for m in marks[:-1]:
-        depth += m
-        out.append(depth > 0)
-    return out
-
 
-def _large(automaton: Automaton, sequence: list, n: int) -> set[tuple[str, ...]]:
-    """Short repeated maximal substrings without clause words that each make up a share of the page's n words."""
-    found = set()
-    for end, size, times in automaton.repeats(KEY_TIMES):
-        if size <= KEY_WORDS and times * size >= KEY_SHARE * n:
-            key = tuple(sequence[end - size + 1 : end + 1])
-            if not CLAUSE_WORDS.intersection(key) and any(not w.isdigit() for w in key):
-                found.add(key)
-    return found
+ALNUM, SPACE, DIGIT, UPPER, LETTER, WORD, BRACKET, MONEY = (1 << k for k in range(8))
+BODY, LINK, TAG = 0, 1, 2
+_BASE = 0x9E3779B97F4A7C15
+#: Symbols of the automata that stand for a whole link, tag or ticker.
+_LINKS, _TAGS, _TICKERS = (np.uint64(0xA5A5A5A5_00000001 + k) for k in range(3))
 
 
-def _phrases(automaton: Automaton, sequence: list) -> Iterator[tuple[int, int]]:
-    """Spans of the repeated maximal substrings, of any length, without the clause words at their ends; two words at least."""
-    ahead, plain = [len(sequence)] * (len(sequence) + 1), [0]
-    for i in range(len(sequence) - 1, -1, -1):
-        ahead[i] = ahead[i + 1] if sequence[i] in CLAUSE_WORDS else i
-    for w in sequence:
-        plain.append(plain[-1] + (isinstance(w, str) and w not in CLAUSE_WORDS and not w.isdigit()))
-    for first, last in automaton.suffixes(sequence, KEY_TIMES):
-        first = ahead[first]
-        if first < last and sequence[last] not in CLAUSE_WORDS and plain[last + 1] > plain[first]:
-            yield first, last
+class _Characters:
+    """Classes and lower case of characters; those beyond the first thousands are looked up when they first occur."""
 
+    def __init__(self) -> None:
+        self.classes = np.zeros(0x110000, dtype=np.uint8)
+        self.lower = np.arange(0x110000, dtype=np.uint32)
+        self.known = 0
+        self._learn(range(0x2500))
+        self.known = 0x2500
+        self.later: set[int] = set()
 
-def _chars(ws: list[str], hit: list[bool]) -> float:
-    """Share of a segment's characters that are marked."""
-    total = sum(map(len, ws))
-    return sum(len(w) for w, h in zip(ws, hit) if h) / total if total else 0.0
+    def _learn(self, codes: Sequence[int]) -> None:
+        for c in codes:
+            x = chr(c)
+            self.classes[c] = ALNUM * x.isalnum() | SPACE * x.isspace() | DIGIT * x.isdecimal() | UPPER * ("A" <= x <= "Z") | LETTER * x.isalpha() | WORD * (x.isalnum() or x == "_") | BRACKET * (x in "=(){}[]") | MONEY * (x in "$€£")
+            if len(x.lower()) == 1:
+                self.lower[c] = ord(x.lower())
 
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(codes) and int(codes.max()) >= self.known:
+            new = set(np.unique(codes[codes >= self.known]).tolist()) - self.later
+            self._learn(sorted(new))
+            self.later |= new
+        return self.classes[codes], self.lower[codes]
 
-def _under(ws: list[str], keys: set[tuple[str, ...]]) -> float:
-    """Share of the characters of a segment that lie under keywords."""
-    hit = [False] * len(ws)
-    for size in {len(k) for k in keys}:
-        for i in range(len(ws) - size + 1):
-            if tuple(ws[i : i + size]) in keys:
-                hit[i : i + size] = [True] * size
-    return _chars(ws, hit)
 
+_CHARACTERS: list[_Characters] = []
+_POWERS: list[np.ndarray] = []
 
-def _within_reach(parts: list[list[str]]) -> list[bool]:
-    """Segments that keywords and phrases could fill: a true bound, as all parts of a repeat are as frequent as it is.
 
-    A word under a keyword is one of a frequent pair of neighbours, or alone a large keyword.
-    """
-    n = sum(map(len, parts))
-    words = Counter(w for ws in parts for w in ws)
-    alone = {w for w, c in words.items() if c >= KEY_TIMES and c >= KEY_SHARE * n and w not in CLAUSE_WORDS}
-    pairs = Counter(p for ws in parts for p in zip(ws, ws[1:]))
-    frequent = {p for p, c in pairs.items() if c >= KEY_TIMES}
-    out = []
-    for ws in parts:
-        hit = [w in alone for w in ws]
-        if frequent:
-            for i, p in enumerate(zip(ws, ws[1:])):
-                if p in frequent:
-                    hit[i] = hit[i + 1] = True
-        out.append(_chars(ws, hit) >= STUFFED)
-    return out
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        inverse = pow(_BASE, -1, 2**64)
+        _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b, dtype=np.uint64)]) for b in (_BASE, inverse)]
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def _stuffed(parts: list[list[str]]) -> list[bool]:
-    """Which segments large keywords fill, or all repeated phrases together where these are no repeated clauses."""
-    n = sum(map(len, parts))
-    sequence: list = []
-    starts = []
-    for i, ws in enumerate(parts):
-        starts.append(len(sequence))
-        sequence += [*ws, i]  # a border of its own: no phrase crosses it
-    automaton = Automaton(sequence)
-    keys = _large(automaton, sequence, n)
-    out = [_under(ws, keys) >= STUFFED for ws in parts] if keys else [False] * len(parts)
-    hit = _marked(_phrases(automaton, sequence), len(sequence))
-    if sum(hit) >= JOINT_SHARE * n:
-        cover = [_chars(ws, hit[at : at + len(ws)]) for ws, at in zip(parts, starts)]
-        for least, most in FILLED:
-            full = [c >= least for c in cover]
-            clauses = sum(w in CLAUSE_WORDS for ws, f in zip(parts, full) if f for w in ws)
-            if clauses <= most * sum(len(ws) for ws, f in zip(parts, full) if f):
-                out = [o or f for o, f in zip(out, full)]
+def _count(mask: np.ndarray) -> np.ndarray:
+    """Prefix counts: how many are set before each position; one longer than the mask."""
+    out = np.zeros(len(mask) + 1, dtype=np.int32)
+    np.cumsum(mask, out=out[1:])
     return out
 
 
-def _table(line: str) -> bool:
-    """Whether a line is a row of data: cells of which at least two, and two fifths, are numbers or dates."""
-    cells = [c for c in _CELLS.split(line.strip()) if c]
-    numbers = sum(bool(_NUMBER.match(c)) for c in cells)
-    return len(cells) >= 3 and numbers >= 2 and numbers >= 0.4 * len(cells)
-
-
-def spam_share(text: str | None, least: float = 0.0) -> tuple[int, float]:
-    """Words of a page, and the share of them in stuffed segments and in lists of links, tags, tickers or offers.
-
-    A share that cannot exceed ``least`` may come out smaller than it is.
-    """
-    if not text:
-        return 0, 0.0
-    total = len(_WORD.findall(text))
-    if total < LEAST_WORDS:
-        return total, 0.0
-    bad = 0
-
-    def take(m: re.Match) -> str:
-        nonlocal bad
-        bad += len(_WORD.findall(m.group()))
-        return " "
-
-    body = _TAG.sub(take, _URL.sub(take, _MARKUP.sub(take, _ANCHOR.sub(take, text))))
-    segments: list[tuple[str, list[str]]] = []
-    loose: list[list[int]] = [[]]
-    for raw in _SENTENCE.split(body):
-        ws = _WORD.findall(raw.lower())
-        if not ws:
-            continue
-        tokens = raw.split()
-        tickers = sum(bool(_TICKER.match(t)) for t in tokens)
-        clauses = sum(w in CLAUSE_WORDS for w in ws)
-        if tickers >= 5 and tickers >= 0.4 * len(tokens) and clauses <= CLAUSE * len(ws) and not _table(raw):
-            bad += len(ws)
-            loose.append([])
-            continue
-        segments.append((raw, ws))
-        line = len(ws) <= LIST_WORDS and not raw.rstrip().endswith((".", "!", "?")) and clauses <= CLAUSE * len(ws) + 1
-        plain = line or (len(ws) >= LIST_WORDS and clauses <= CLAUSE * len(ws) - 1)
-        if plain and not _CODE.search(raw) and not _table(raw):
-            loose[-1].append(len(segments) - 1)
-        elif loose[-1]:
-            loose.append([])
-    listed: set[int] = set()
-    for run in loose:
-        sequence = [w for i in run for w in segments[i][1]]
-        if len(run) >= LIST_LINES or len(sequence) >= LIST_WORDS:
-            marks = Automaton(sequence).covered(sequence, 2)
-            size = sum(map(len, sequence))
-            priced = 2 * sum(bool(_PRICE.search(segments[i][0])) for i in run) >= len(run) >= LIST_LINES
-            if sum(len(w) for w, m in zip(sequence, marks) if m) >= LISTED * size * (0.5 if priced else 1.0):
-                listed.update(run)
-    bad += sum(len(segments[i][1]) for i in listed)
-    rest = [ws for i, (raw, ws) in enumerate(segments) if i not in listed and not _table(raw) and not _STATEMENT.search(raw)]
-    reach = sum(len(ws) for ws, r in zip(rest, _within_reach(rest)) if r)
-    if reach and bad + reach > least * total:
-        bad += sum(len(ws) for ws, f in zip(rest, _stuffed(rest)) if f)
-    return total, bad / total
+def _runs(mask: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First position and end of the runs of set positions; ``cut`` marks positions that begin a run of their own."""
+    before, after = np.r_[False, mask[:-1]], np.r_[mask[1:], False]
+    if cut is None:
+        return np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
+    return np.flatnonzero(mask & (~before | cut)), np.flatnonzero(mask & (~after | np.r_[cut[1:], True])) + 1
+
+
+def _hashes(lower: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit codes of the words from first to end."""
+    n = len(lower)
+    power, inverse = _powers(max(n, 1))
+    with np.errstate(over="ignore"):
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
+        code = (total[end] - total[first]) * inverse[first]
+        code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return code ^ (code >> np.uint64(32))
+
+
+def _codes_of(words: Sequence[str]) -> np.ndarray:
+    text = " ".join(sorted(words))
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    first, end = _runs(codes != 32)
+    return np.sort(_hashes(codes, first, end))
+
+
+_WORD_SETS: list[np.ndarray] = []
+
+
+def _among(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    return known[at] == codes
+
+
+def _kinds(joined: str, starts: np.ndarray, codes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each character belongs to (page, link or tag), and where links and tags begin."""
+    kind = np.zeros(len(codes), dtype=np.uint8)
+    begins: list[int] = []
+
+    def mark(first: int, end: int) -> None:
+        kind[first:end] = LINK
+        begins.append(first)
+
+    odd = np.flatnonzero((codes == ord("[")) | (codes == ord("<")))
+    for page in np.unique(np.searchsorted(starts, odd, "right") - 1):
+        low, high = int(starts[page]), int(starts[page + 1])
+        text = joined[low:high]
+        for pattern, sign in ((_ANCHOR, "](" if "](" in text else "<"), (_MARKUP, "<")):
+            if sign in text:
+                found = [m.span() for m in pattern.finditer(text)]
+                for first, end in found:
+                    mark(low + first, low + end)
+                    text = text[:first] + " " * (end - first) + text[end:] if len(found) < 3 else text
+                if len(found) >= 3:
+                    text = pattern.sub(lambda m: " " * len(m.group()), text)
+    body = kind == BODY
+    slash, dot = body & (codes == ord("/")), body & ((codes == ord(".")) | (codes == ord(":")))
+    first, end = _runs(body & (classes & SPACE == 0))
+    slashes, dots = _count(slash), _count(dot)
+    w = (codes | 32) == ord("w")
+    www = np.flatnonzero(w[:-3] & w[1:-2] & w[2:-1] & (codes[3:] == ord("."))) if len(codes) > 3 else np.zeros(0, dtype=np.int64)
+    likely = (slashes[end] > slashes[first]) & (dots[end] > dots[first])
+    likely[np.searchsorted(first, www, "right") - 1] |= True
+    for a, b in zip(first[likely].tolist(), end[likely].tolist()):
+        for m in _URL.finditer(joined[a:b]):
+            mark(a + m.start(), a + m.end())
+    at = np.flatnonzero((codes == ord("#")) & (kind == BODY))
+    if len(at):
+        name = (classes & WORD != 0) & (kind == BODY)
+        at = at[~np.r_[False, name][at] & np.r_[name, False][at + 1]]
+        _, stops = _runs(name)
+        for a, b in zip(at.tolist(), stops[np.searchsorted(stops, at + 1)].tolist() if len(at) else []):
+            kind[a:b] = TAG
+            begins.append(a)
+    return kind, np.array(sorted(begins), dtype=np.int64)
+
+
+def _per(index: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
+    return np.bincount(index, weights, minlength=n)
+
+
+def _measure(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Words and spam words of each page."""
+    pages = len(texts)
+    joined = "\n".join(texts) + "\n"
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if not _CHARACTERS:
+        _CHARACTERS.append(_Characters())
+        _WORD_SETS[:] = [_codes_of(CLAUSE_WORDS), _codes_of(CODE_WORDS), _codes_of(["select"])]
+    classes, lower = _CHARACTERS[0].of(codes)
+    starts = np.cumsum(np.r_[0, [len(t) + 1 for t in texts]])
+    kind, items = _kinds(joined, starts, codes, classes)
+
+    # words
+    alnum = classes & ALNUM != 0
+    first, end = _runs(alnum, np.r_[True, kind[1:] != kind[:-1]])
+    n = len(first)
+    page = np.searchsorted(starts, first, "right") - 1
+    total = _per(page, pages)
+    size = end - first
+    code = _hashes(lower, first, end)
+    what = kind[first]
+    body = what == BODY
+    digits = _count(classes & DIGIT != 0)
+    clause = _among(code, _WORD_SETS[0]) & body
+    plain = body & ~clause & (digits[end] - digits[first] < size)
+
+    # segments: lines and sentences of a page without its links and tags
+    gap = (classes & SPACE != 0) | (kind != BODY)
+    stop = (codes == ord(".")) | (codes == ord("!")) | (codes == ord("?"))
+    border = ((codes == 10) & (kind == BODY)) | (gap & np.r_[False, ((stop | (codes == ord("…"))) & ~gap)[:-1]])
+    number = _count(border)[1:]  # of a character's segment
+    raw_segment = number[first]
+    used, segment = np.unique(raw_segment[body], return_inverse=True)
+    m = len(used)
+    if not m:
+        bad = _per(page, pages, ~body)
+        return total, bad
+    seg_of = np.full(int(number[-1]) + 2, -1, dtype=np.int64)
+    seg_of[used] = np.arange(m)
+    seg = np.where(body, seg_of[raw_segment], -1)
+    bw = np.flatnonzero(body)
+    seg_page = np.zeros(m, dtype=np.int64)
+    seg_page[segment] = page[bw]
+    n_words, n_clause, n_chars = _per(segment, m), _per(segment, m, clause[bw]), _per(segment, m, size[bw])
+    first_word = np.full(m, n, dtype=np.int64)
+    first_word[segment[::-1]] = bw[::-1]
+
+    # tokens between blanks: tickers and the ends of segments
+    tok, tok_end = _runs(~gap)
+    tok_seg = seg_of[number[tok]]
+    letters, upper = _count(classes & LETTER != 0), _count(classes & UPPER != 0)
+    caps = upper[tok_end] - upper[tok]
+    likely = np.flatnonzero((tok_seg >= 0) & (caps > 0) & (caps == letters[tok_end] - letters[tok]) & (tok_end - tok >= 3))
+    is_ticker = np.zeros(len(tok), dtype=bool)
+    is_ticker[[t for t, a, b in zip(likely.tolist(), tok[likely].tolist(), tok_end[likely].tolist()) if _TICKER.match(joined[a:b])]] = True
+    inside = tok_seg >= 0
+    n_tokens, n_tickers = _per(tok_seg[inside], m), _per(tok_seg[inside], m, is_ticker[inside])
+    last_tok = np.full(m, 0, dtype=np.int64)
+    last_tok[tok_seg[inside]] = np.flatnonzero(inside)
+    first_tok = np.full(m, 0, dtype=np.int64)
+    first_tok[tok_seg[inside][::-1]] = np.flatnonzero(inside)[::-1]
+    ends = stop[tok_end[last_tok] - 1]
+
+    # rows of data: cells of which at least two, and two fifths, are numbers or dates
+    solid = ~gap
+    mark = solid & ((codes == ord("|")) | (codes == ord(";")))
+    mark |= (codes == 9) & (kind == BODY)
+    mark |= solid & (codes == ord(",")) & np.r_[gap[1:], True]
+    edges = np.flatnonzero(mark | border)
+    low, high = np.r_[0, edges + 1], np.r_[edges, len(codes)]
+    filled, signs = _count(solid), _count(solid & (classes & (LETTER | WORD) != 0) & (classes & DIGIT == 0))
+    cell = filled[high] > filled[low]
+    numeric = cell & (digits[high] > digits[low]) & (signs[high] == signs[low])
+    cell_seg = seg_of[number[np.minimum(low, len(codes) - 1)]]
+    held = cell_seg >= 0
+    cells, numbers = _per(cell_seg[held], m, cell[held]), _per(cell_seg[held], m, numeric[held])
+    table = (cells >= 3) & (numbers >= 2) & (numbers >= 0.4 * cells)
+
+    # code: brackets and assignments, or a line that begins with a statement's word
+    signs = solid & (classes & BRACKET != 0)
+    coded = np.zeros(m, dtype=bool)
+    at = seg_of[number[np.flatnonzero(signs)]]
+    coded[at[at >= 0]] = True
+    name = (classes & WORD != 0) & (kind == BODY)
+    calls = np.flatnonzero(signs & (codes == ord("(")))
+    calls = calls[np.r_[False, name][calls]]
+    equals = np.flatnonzero(signs & (codes == ord("=")))
+    places = np.flatnonzero(solid)
+    where = np.searchsorted(places, equals)
+    prev, following = places[np.maximum(where - 1, 0)], places[np.minimum(where + 1, len(places) - 1)]
+    equals = equals[name[prev] & (where > 0) & (following > equals) & (number[prev] == number[equals]) & (number[following] == number[equals])]
+    statement = np.zeros(m, dtype=bool)
+    at = seg_of[number[np.r_[calls, equals]]]
+    statement[at[at >= 0]] = True
+    opens = first[first_word] == tok[first_tok]
+    low_case = opens & (classes[first[first_word]] & UPPER == 0)
+    opening = _among(code[first_word], _WORD_SETS[1])
+    coded |= opens & (opening | _among(code[first_word], _WORD_SETS[2]))
+    statement |= low_case & opening
+
+    # runs of tickers with few clauses
+    tickers = (n_tickers >= TICKERS) & (n_tickers >= TICKER_SHARE * n_tokens) & (n_clause <= CLAUSE * n_words) & ~table
+
+    # runs of lines without clauses
+    line = (n_words <= LIST_WORDS) & ~ends & (n_clause <= CLAUSE * n_words + 1)
+    loose = (line | ((n_words >= LIST_WORDS) & (n_clause <= CLAUSE * n_words - 1))) & ~coded & ~table & ~tickers
+    run = np.cumsum(loose & ~(np.r_[False, loose[:-1]] & np.r_[False, seg_page[1:] == seg_page[:-1]])) - 1
+    runs = int(run[-1]) + 1 if m else 0
+    run_lines, run_words = _per(run[loose], runs), _per(run[loose], runs, n_words[loose])
+    asked = (run_lines >= LIST_LINES) | (run_words >= LIST_WORDS)
+    in_list = loose & asked[np.maximum(run, 0)] if runs else loose
+    list_words = bw[in_list[segment]]
+
+    # the automata: one of every whole page, one of every list
+    token_of = np.searchsorted(tok, first, "right") - 1
+    as_ticker = body & tickers[np.maximum(seg, 0)] & is_ticker[np.maximum(token_of, 0)] & (seg >= 0)
+    symbol = code.copy()
+    symbol[what == LINK], symbol[what == TAG], symbol[as_ticker] = _LINKS, _TAGS, _TICKERS
+    thing = np.where(body, np.where(as_ticker, token_of, -1), np.searchsorted(items, first, "right") - 1)
+    again = (symbol[1:] == symbol[:-1]) & (thing[1:] == thing[:-1]) & (thing[1:] >= 0) & (what[1:] == what[:-1]) if n > 1 else np.zeros(0, dtype=bool)
+    head = np.r_[True, ~again]  # the first word of a link, tag or ticker stands for all of it
+    element = np.cumsum(head) - 1
+    fresh = head & np.r_[True, (raw_segment[1:] != raw_segment[:-1])]
+    shift = np.cumsum(fresh[head]) - 1
+    place = np.arange(len(shift)) + shift + 1  # a border that occurs once stands before each segment
+    length = len(shift) + int(fresh.sum())
+    symbols = np.arange(length, dtype=np.uint64) | np.uint64(1 << 63)
+    owner = np.zeros(length, dtype=np.int64)
+    symbols[place], owner[place] = symbol[head], page[head]
+    borders = np.ones(length, dtype=bool)
+    borders[place] = False
+    owner[np.flatnonzero(borders)] = owner[np.flatnonzero(borders) + 1]
+    automata = Automata(np.r_[symbols, code[list_words]], np.r_[owner, pages + run[seg[list_words]]])
+
+    def spread(values: np.ndarray) -> np.ndarray:
+        return values[place][element]
+
+    twice = automata.covered(2)
+    repeated = spread(twice[:length])
+    bad_word = ~body & repeated
+    shown = _per(seg[body], m, (as_ticker & repeated)[body])
+    bad_seg = tickers & (shown >= TICKERS)
+
+    # lists: repeats cover much of their characters, or half as much where most lines have a price
+    if len(list_words):
+        covered = _per(run[seg[list_words]], runs, size[list_words] * twice[length:])
+        chars = _per(run[seg[list_words]], runs, size[list_words])
+        money = solid & (classes & MONEY != 0)
+        digit = (classes & DIGIT != 0) & solid
+        blank = classes & SPACE != 0
+        near = np.r_[digit[1:], False] | (np.r_[blank[1:], False] & np.r_[digit[2:], False, False]) | np.r_[False, digit[:-1]] | (np.r_[False, blank[:-1]] & np.r_[False, False, digit[:-2]])
+        priced = np.zeros(m, dtype=bool)
+        at = seg_of[number[np.flatnonzero(money & near)]]
+        priced[at[at >= 0]] = True
+        a, b = tok[last_tok], tok_end[last_tok]
+        marks = _count((codes == ord(".")) | (codes == ord(",")))
+        n_digits, n_marks = digits[b] - digits[a], marks[b] - marks[a]
+        priced |= (n_digits > 0) & (n_digits + n_marks == b - a) & (n_marks <= 1) & digit[a] & digit[b - 1] & (last_tok > first_tok)
+        offers = (2 * _per(run[loose], runs, priced[loose]) >= run_lines) & (run_lines >= LIST_LINES)
+        is_list = asked & (covered >= LISTED * chars * np.where(offers, 0.5, 1.0))
+        listed = in_list & is_list[np.maximum(run, 0)]
+    else:
+        listed = np.zeros(m, dtype=bool)
+
+    # the rest of the page: keywords and stock phrases fill its segments
+    rest = ~listed & ~tickers & ~table & ~statement
+    n_rest = _per(seg_page, pages, np.where(rest, n_words, 0))
+    is_clause, is_plain = np.zeros(length, dtype=bool), np.zeros(length, dtype=bool)
+    is_clause[place], is_plain[place] = (clause | ~body)[head], plain[head]
+    clauses, plains = _count(is_clause | borders), _count(is_plain)
+    at = np.arange(length)
+    hit = np.zeros(length, dtype=bool)
+    often = automata.occurrences(1)[:length]
+    for k in range(1, KEY_WORDS + 1):
+        longer = automata.occurrences(k + 1)[:length]  # a state's longest substring loses occurrences with one more word
+        big = (often >= KEY_TIMES) & (longer < often) & (often * k >= KEY_SHARE * n_rest[owner]) & (clauses[at + 1] == clauses[np.maximum(at - k + 1, 0)]) & (plains[at + 1] > plains[np.maximum(at - k + 1, 0)])
+        last = np.flatnonzero(big)
+        hit |= marked(last - k + 1, last, length)
+        often = longer
+    long = automata.longest(KEY_TIMES)[:length]
+    last = np.flatnonzero((long > 0) & ~is_clause)
+    begin = last - long[last] + 1
+    open_at = np.where(is_clause, length, at)
+    ahead = np.minimum.accumulate(open_at[::-1])[::-1]  # phrases lose the clause words at their ends
+    begin = ahead[begin]
+    keep = (begin < last) & (plains[last + 1] > plains[np.minimum(begin, length - 1)])
+    phrase = marked(begin[keep], last[keep], length)
+
+    def cover(marks: np.ndarray) -> np.ndarray:
+        return _per(seg[body], m, (size * spread(marks))[body]) / n_chars
+
+    stuffed = cover(hit) >= STUFFED
+    in_rest = body & rest[np.maximum(seg, 0)]
+    joint = _per(page[in_rest], pages, spread(phrase)[in_rest])
+    share = cover(phrase)
+    for least, most in FILLED:
+        full = rest & (share >= least) & (joint >= JOINT_SHARE * n_rest)[seg_page]
+        few = _per(seg_page, pages, np.where(full, n_clause, 0)) <= most * _per(seg_page, pages, np.where(full, n_words, 0))
+        stuffed |= full & few[seg_page]
+    bad_seg |= listed | (rest & stuffed)
+    bad = _per(page, pages, bad_word) + _per(seg_page, pages, np.where(bad_seg, n_words, 0))
+    return total, bad
+
+
+def spam_shares(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each page, and the share of them in stuffed segments and in lists of links, tags, tickers or offers."""
+    n_words, share = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
+    part: list[int] = []
+    held = 0
+    for i, text in enumerate([*texts, None]):
+        more = len(text) if text else 0
+        if part and (i == len(texts) or held + more > SLICE_CHARS):
+            words, bad = _measure([texts[j] for j in part])
+            n_words[part] = words
+            share[part] = np.where(words >= LEAST_WORDS, bad / np.maximum(words, 1), 0.0)
+            part, held = [], 0
+        if text:
+            part.append(i)
+            held += more
+    return n_words, share
+
+
+def spam_share(text: str | None) -> tuple[int, float]:
+    """Words and spam share of one page."""
+    n_words, share = spam_shares([text])
+    return int(n_words[0]), float(share[0])
 
 
 def spam_pages(documents: DataFrame, id: str, text: str, share: float = SPAM_SHARE) -> DataFrame:
     """Pages of which more than ``share`` of the words are spam: ``id, n_words, spam_share``.
 
-    Links with their anchors, tags and runs of tickers count where they stand. Lines without clauses are
-    a list of offers or tags if their suffix automaton shows that repeated substrings cover much of their characters. In the rest of a
-    page the automaton gives the repeated maximal substrings, its keywords and stock phrases. A sentence or line is stuffed
-    if two fifths of its characters lie under large keywords (short, without clause words, alone a twentieth of the page), or
-    under all repeated phrases together (of any length, without the clause words at their ends); the latter only where at
-    most a sixth of the words of the sentences so filled are clause words, or a third where nine tenths of each are filled:
-    long articles repeat phrases too. Rows of data, code and prose are left alone.
+    Every page has a suffix automaton over its whole text, in which a link with its anchor, a tag and a ticker in a run of
+    tickers are one symbol each, and every other word its own; borders between lines and sentences occur once. What counts
+    lies under repeated maximal substrings of it: links and tags, and runs of tickers, that repeat; and sentences or lines of
+    which two fifths of the characters lie under large keywords (short, without clause words, alone a twentieth of the
+    page), or under all repeated phrases together (of any length, without the clause words at their ends); the latter
+    only where at most a sixth of the words of the sentences so filled are clause words, or a third where nine tenths of each
+    are filled: long articles repeat phrases too. Lines without clauses are a list of offers or tags if, in the automaton of the
+    list alone, repeated substrings cover much of their characters. Rows of data, code and prose are left alone.
 
-    Distribution: pages are independent, measured where they are read; nothing is shuffled. The automaton is linear in
-    the page's words; it is not built where the counts of neighbouring words prove that keywords can fill too few segments
-    for the page to exceed ``share``. Whole pages count.
+    Distribution: pages are independent, measured where they are read, and nothing is shuffled. The automata of about a
+    million characters of pages are built together in arrays. Whole pages count, and the share is never cut short. Words are
+    compared by 64-bit codes.
 
     Nulls: a null or empty text, or one of fewer than 20 words, is no spam. A null id comes out as null. A page
     delivered twice comes out twice. Empty in, empty out. Other columns are ignored.
@@ -292,8 +433,8 @@ def spam_pages(documents: DataFrame, id: str, text: str, share: float = SPAM_SHA
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            both = [spam_share(t, share) for t in pdf["t"]]
-            out = pd.DataFrame({"i": pdf["i"], "n_words": [n for n, _ in both], "spam_share": [s for _, s in both]})
+            n_words, shares = spam_shares(pdf["t"].tolist())
+            out = pd.DataFrame({"i": pdf["i"], "n_words": n_words, "spam_share": shares})
             yield out[out["spam_share"] > share]
 
     return documents.select(F.col(id).alias("i"), F.col(text).alias("t")).mapInPandas(measure, schema).withColumnRenamed("i", id)

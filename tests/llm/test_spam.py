@@ -1,8 +1,15 @@
 """Spam pages and pages that only look like them."""
 
+from collections import Counter
+
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from loomgrid.llm.spam import Automaton, spam_pages, spam_share
+from loomgrid.llm import spam
+from loomgrid.llm.automata import Automata
+from loomgrid.llm.spam import spam_pages, spam_share, spam_shares
 
 PROSE = "The report was sent back since the vendor restated the volumes, so the ratio for this factor is short-lived. It took ten attempts until the sampler returned something other than a rank of average volume. "
 SPAM = [
@@ -46,12 +53,46 @@ def test_operator_handles_nulls_empty_and_very_long_texts(spark):
     assert spam_pages(df.limit(0), "doc_id", "text").collect() == []
 
 
-def test_automaton_counts_substrings():
-    text = "abracadabra"
-    a = Automaton(list(text))
-    found = {text[e - n + 1 : e + 1]: c for e, n, c in a.repeats(2)}
-    assert found["abra"] == 2 and found["a"] == 5 and "bra" not in found
-    assert "".join(c for c, m in zip(text, a.covered(list(text), 2)) if m) == "abraaabra"
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=40), min_size=1, max_size=4), st.integers(2, 7))
+def test_automata_count_substrings_like_a_plain_count(sequences, times):
+    a = Automata(np.array([x for q in sequences for x in q], dtype=np.uint64), np.array([i for i, q in enumerate(sequences) for _ in q], dtype=np.int64))
+    longest, at = a.longest(times), 0
+    for q in sequences:
+        count = Counter(tuple(q[i:j]) for i in range(len(q)) for j in range(i + 1, len(q) + 1))
+        for e in range(len(q)):
+            assert longest[at + e] == max((n for n in range(1, e + 2) if count[tuple(q[e - n + 1 : e + 1])] >= times), default=0)
+            for n in (1, 2, 3, 5):
+                assert a.occurrences(n)[at + e] == (count[tuple(q[e - n + 1 : e + 1])] if n <= e + 1 else 0)
+        at += len(q)
+
+
+def test_automata_of_nothing_and_of_long_repeats():
+    assert Automata(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)).longest(2).tolist() == []
+    a = Automata(np.array([7, 8, 9] * 500, dtype=np.uint64), np.zeros(1500, dtype=np.int64))
+    assert a.longest(2)[-1] == 1497 and a.longest(500)[-1] == 3 and a.covered(2).all()
+
+
+def test_every_page_has_its_automaton(monkeypatch):
+    seen = []
+    monkeypatch.setattr(spam, "Automata", lambda symbols, owner: seen.append(set(owner.tolist())) or Automata(symbols, owner))
+    pages = [*SPAM, *FINE, PROSE, "a " * 30]
+    spam_shares(pages)
+    assert set.union(*seen) >= set(range(len(pages)))
+
+
+def test_one_long_keyword_in_short_sentences():
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    stuffed = " ".join(f"{name(7 * i)} of {name(i)} scannerportfolio {name(3 * i)} {name(5 * i)}." for i in range(33))
+    article = " ".join(f"the {name(i + 2000)} was {name(i + 900)}." for i in range(39))
+    n, share = spam_share(f"{stuffed} {article}")
+    assert n == 354 and share == pytest.approx(33 * 6 / 354)
+
+
+def test_pages_do_not_change_each_other():
+    pages = [*SPAM, *FINE, None, "", *SPAM[::-1]]
+    n_words, share = spam_shares(pages)
+    assert [(int(n), float(s)) for n, s in zip(n_words, share)] == [spam_share(p) for p in pages]
 
 
 def test_many_small_keywords_in_short_sentences():
