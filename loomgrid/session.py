@@ -30,9 +30,12 @@ def get_session(master: str = "local[8]", partitions: int = 8, memory: str = "8g
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder that all executors share: the session's spark.checkpoint.dir, or where that is unset and all runs in one process (tests) one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         folder = getattr(spark, "_loomgrid_dir", None)
         if not folder:
             folder = "file://" + tempfile.mkdtemp(prefix="loomgrid-")
@@ -55,9 +58,18 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 
     Cuts lineage durably: the files outlive any executor, and unlike a persisted frame they
     are columnar, compressed and carry sizes from which the planner picks join strategies.
+    The table stays until ``release`` or the end of the session.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgrid-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomgrid_path = path
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more."""
+    for df in staged:
+        _remove(df.sparkSession, df._loomgrid_path)

@@ -28,6 +28,14 @@ def test_the_rest_works_without_llm(tmp_path):
     assert int(n) > 50 and one == "False" and three == "True"
 
 
+def test_a_library_that_only_llm_needs_may_be_absent(tmp_path):
+    (tmp_path / "xxhash.py").write_text("raise ImportError('absent')\n")
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'p9_found' in q, 'p3_found' in q)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, env={**os.environ, "PYTHONPATH": f"{tmp_path}:{ROOT}"}, capture_output=True, text=True, check=True)
+    n, nine, three = out.stdout.split()
+    assert int(n) > 50 and nine == "False" and three == "True"
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()

@@ -4,6 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from loomgrid import session
 from loomgrid.operators.ordering import running_total
 from loomgrid.session import shared_dir, stage
@@ -40,3 +42,25 @@ def test_stage_writes_into_the_sessions_folder(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "shared_dir", lambda s: f"file://{tmp_path}")
     assert stage(spark.range(9), "t").count() == 9
     assert any(p.name.startswith("loomgrid-t-") for p in tmp_path.iterdir())
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
+def test_released_tables_are_gone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda s: f"file://{tmp_path}")
+    kept, gone = stage(spark.range(9), "a"), stage(spark.range(5), "b")
+    session.release(gone)
+    assert kept.count() == 9 and [p.name.startswith("loomgrid-a") for p in tmp_path.iterdir() if not p.name.startswith(".")] == [True]
