@@ -18,19 +18,33 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Items that one task packs at a time.
 BLOCK = 20_000
-#: A container filled to this share is closed; the items of others take part in the next round.
+#: A container filled to this share is final; the items of others take part in the next round.
 CLOSED = 0.995
 
 
-def token_counts(documents: DataFrame, id: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``id, n_tokens`` of every document, whole texts; a null text has 0 tokens. ``tokenizer`` is a rank file on every executor."""
+#: One encoding per Python worker and rank file.
+_ENCODINGS: dict[str, object] = {}
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _encoding(name: str, ranks: bytes) -> object:
+    if name not in _ENCODINGS:
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        pairs = (line.split() for line in ranks.splitlines() if line.strip())
+        _ENCODINGS[name] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
+    return _ENCODINGS[name]
+
+
+def token_counts(documents: DataFrame, id: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """``id, n_tokens`` of every document, whole texts; a null text has 0 tokens.
+
+    ``tokenizer`` is a rank file that the driver reads; its bytes (a vocabulary, about a megabyte) go to the executors with the job.
+    """
+    with open(tokenizer, "rb") as f:
+        ranks = documents.sparkSession.sparkContext.broadcast(f.read())
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoding = _encoding(tokenizer, ranks.value)
         for pdf in batches:
             yield pd.DataFrame({"i": pdf["i"], "n": [len(encoding.encode_ordinary(t)) if t else 0 for t in pdf["t"]]})
 
@@ -202,17 +216,31 @@ def _filler(capacity: int, turn: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return fill
 
 
+def _bar(packed: DataFrame, count: int, closed: float) -> float:
+    """The fill below which containers stay open: ``closed``, or less where more than half of the pieces would stay."""
+    fills = packed.where(F.col("fill") < closed).groupBy("fill").agg(F.count(F.lit(1)).alias("held")).orderBy("fill")
+    held, bar = 0, 0.0
+    for row in fills.toLocalIterator():  # one row per fill, of which there are no more than the capacity
+        held += row.held
+        if 2 * held > count:
+            return float(row.fill)
+        bar = closed
+    return bar
+
+
 def pack(items: DataFrame, id: str, size: str, capacity: int, block: int = BLOCK, closed: float = CLOSED) -> DataFrame:
     """Every item with its container: ``id, piece, piece_size, container`` (string), ``container_fill``.
 
     An item longer than ``capacity`` is cut into pieces of ``capacity`` and a rest, numbered from 0, each piece in
     one container; any other item is one piece, never split. Pieces are dealt by hash to tasks of about ``block`` pieces,
     packed by best fit in falling size and improved by ``local_search``. Containers filled to ``closed`` are final; the
-    pieces of the others are dealt again, to fewer tasks, until one task's worth is left, whose containers
-    are final as they are. So only a few containers of the whole result are underfull.
+    pieces of the others are dealt again, until one task's worth is left, whose containers are final as they are.
+    Where these are over half of the pieces dealt, as with sizes that cannot fill a container, the fuller
+    containers that hold at least half of them are final too, so every round halves what is left: there are at most
+    log2(pieces / block) + 2 rounds. So only a few containers of the whole result are underfull by more than the sizes force.
 
-    Distribution: only ids and sizes travel; a task holds about ``block`` pieces whatever the number of items; each round deals
-    a small share of the pieces before. Full pieces are containers of their own and are not dealt.
+    Distribution: only ids and sizes travel; a task holds about ``block`` pieces whatever the number of items. Full pieces are
+    containers of their own and are not dealt. Containers are joined with the items once, at the end.
 
     Nulls: a null size counts as 0; a null id is an item like any other; a negative size is an error. Size 0
     takes no room but gets a container. Repeated rows are items of their own. Empty in, empty out.
@@ -226,20 +254,18 @@ def pack(items: DataFrame, id: str, size: str, capacity: int, block: int = BLOCK
     whole = pieces.where(F.col("n") >= capacity).select("i", "piece", "n", F.concat(F.lit("w"), F.col("u")).alias("container"), F.col("n").alias("fill"))
     rest = pieces.where(F.col("n") < capacity)
     schema = pieces.select("u", "n").schema.add("container", "string").add("fill", "long")
-    result, turn = [whole], 0
-    count = rest.count()
-    tasks = max(1, -(-count // block))
-    left = rest
+    placed: DataFrame | None = None
+    turn, left, count = 0, rest.select("u", "n"), rest.count()
     while True:
-        dealt = left.select("u", "n", F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(tasks)).alias("task"))
+        tasks = max(1, -(-count // block))
+        dealt = left.withColumn("task", F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(tasks)))
         packed = stage(dealt.groupBy("task").applyInPandas(_filler(capacity, turn), schema), "packed")
-        final = packed if tasks == 1 else packed.where(F.col("fill") >= closed * capacity)
-        result.append(final.select("u", "container", "fill").join(pieces.select("u", "i", "piece", "n"), "u").select("i", "piece", "n", "container", "fill"))
-        if tasks == 1:
+        open_below = _bar(packed, count, closed * capacity) if tasks > 1 else 0
+        final = packed.where(F.col("fill") >= open_below).select("u", "container", "fill")
+        placed = final if placed is None else placed.unionByName(final)
+        left = packed.where(F.col("fill") < open_below).select("u", "n")
+        count, turn = left.count() if open_below else 0, turn + 1
+        if not count:
             break
-        left = packed.where(F.col("fill") < closed * capacity).select("u", "n")
-        tasks, turn = max(1, min(tasks - 1, -(-left.count() // block))), turn + 1
-    out = result[0]
-    for part in result[1:]:
-        out = out.unionByName(part)
+    out = whole.unionByName(placed.join(rest, "u").select("i", "piece", "n", "container", "fill"))
     return out.select(F.col("i").alias(id), "piece", F.col("n").alias("piece_size"), "container", F.col("fill").alias("container_fill"))

@@ -5,8 +5,10 @@ import random
 import numpy as np
 import pytest
 
+from loomgrid.llm import packing
 from loomgrid.llm.packing import best_fit, local_search, pack, token_counts
 
+packing_stage = packing.stage
 SCHEMA = "id bigint, size bigint, container string, u int"
 
 
@@ -93,3 +95,21 @@ def test_search_equals_trying_every_partner():
                 queue = sorted((fill[i], i) for _, i in queue if fill[i] < 100)
         got = local_search([list(b) for b in bins], sizes, 100)
         assert sorted(map(sorted, got)) == sorted(sorted(b) for b in want if b)
+
+
+@pytest.mark.parametrize("sizes, most", [(lambda i: 6, 2), (lambda i: 4 + i % 3, 6)])
+def test_rounds_are_few_whatever_the_sizes(spark, monkeypatch, sizes, most):
+    rounds = []
+    monkeypatch.setattr(packing, "stage", lambda df, name: rounds.append(name) or packing_stage(df, name))
+    rows = [(i, sizes(i)) for i in range(600)]
+    used, least = _verify(rows, _pack(spark, rows, 10, block=50), 10)
+    assert rounds.count("packed") <= most
+    assert used <= (600 if sizes(1) == 6 else least * 1.1)
+
+
+def test_rank_file_travels_with_the_job(spark, tmp_path):
+    path = tmp_path / "own.tiktoken"
+    path.write_bytes(open(packing.TOKENIZER, "rb").read())
+    counted = token_counts(spark.createDataFrame([(1, "momentum pays"), (2, None)], "id bigint, t string"), "id", "t", str(path))
+    path.unlink()
+    assert {r.id: r.n_tokens > 0 for r in counted.collect()} == {1: True, 2: False}
