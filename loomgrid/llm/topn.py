@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.session import stage
+from loomgrid.session import release, stage
 
 #: Bits of a code that one pass settles: each counts above 2**BITS - 1 midpoints of every open group.
 BITS = 8
@@ -35,8 +35,9 @@ def top_n(items: DataFrame, group: str, id: str, score: str, n: int, bits: int =
     chosen items and a whole interval make exactly ``n``. Passes go over scores first and over ids where scores are equal,
     so there are at most 128 / bits of them, over rapidly falling numbers of rows.
 
-    Distribution: counts are per (group, interval); cutoffs, one row per open group, rejoin the open items by group,
-    where a hot group is a skewed side that adaptive execution splits. No group is sorted or gathered.
+    Distribution: counts are per (group, interval); intervals and cutoffs, one row per open group, rejoin the open items by
+    group, where a hot group is a skewed side that adaptive execution splits. A pass writes the items that stay open and
+    those it has chosen, once each. No group is sorted or gathered.
 
     Nulls: items with a null group, id or score, or a NaN score, never come out. An item that occurs several times counts
     once, with its highest score. A group with fewer items comes out whole. -0.0 equals 0.0. Empty in, empty out.
@@ -49,6 +50,7 @@ def top_n(items: DataFrame, group: str, id: str, score: str, n: int, bits: int =
     open_rows = stage(rows.withColumn("c", score_code(F.col("v"))).withColumn("d", F.bitwise_not("i")), "items")
     need = open_rows.select("g").distinct().withColumn("need", F.lit(n).cast("bigint"))
     chosen: list[DataFrame] = []
+    turn = 0
     while True:
         span = open_rows.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("d").alias("d0"), F.max("d").alias("d1"), F.count(F.lit(1)).alias("held"))
         span = span.join(need, "g").withColumn("by_id", F.col("c0") == F.col("c1"))
@@ -56,21 +58,25 @@ def top_n(items: DataFrame, group: str, id: str, score: str, n: int, bits: int =
         width = high.cast("double") - low.cast("double") + 1.0
         shift = F.greatest(F.ceil(F.log2(width)).cast("int") - bits, F.lit(0))
         span = span.withColumn("low", low).withColumn("shift", F.when(F.col("held") <= F.col("need"), F.lit(-1)).otherwise(shift))
-        span = span.select(F.col("g").alias("h"), "need", "by_id", "low", "shift")
+        span = stage(span.select(F.col("g").alias("h"), "need", "by_id", "low", "shift"), "spans")
         slot = F.when(F.col("shift") < 0, F.lit(0)).otherwise(F.expr("shiftright(CASE WHEN by_id THEN d ELSE c END, shift) - shiftright(low, shift)"))
-        placed = stage(open_rows.join(span, F.col("g") == F.col("h")).select("g", "i", "v", "c", "d", "need", "shift", slot.alias("slot")), "pass")
+        placed = open_rows.join(span, F.col("g") == F.col("h")).select("g", "i", "v", "c", "d", "need", "shift", slot.alias("slot"))
         above = Window.partitionBy("g").orderBy(F.desc("slot"))
         cuts = placed.groupBy("g", "slot").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need"), F.first("shift").alias("shift"))
         cuts = cuts.withColumn("top", F.sum("k").over(above)).withColumn("left", F.col("need") - F.col("top") + F.col("k"))
         cuts = cuts.where((F.col("left") > 0) & ((F.col("top") >= F.col("need")) | (F.col("shift") < 0)))
         cuts = cuts.select(F.col("g").alias("h"), F.col("slot").alias("cut"), "left", ((F.col("top") == F.col("need")) | (F.col("shift") < 0)).alias("whole"))
         cuts = stage(cuts, "cuts")
-        settled = placed.join(cuts, F.col("g") == F.col("h"), "left")
-        chosen.append(settled.where((F.col("slot") > F.col("cut")) | ((F.col("slot") == F.col("cut")) & F.col("whole"))).select("g", "i", "v"))
+        settled = placed.join(cuts, F.col("g") == F.col("h")).withColumn("taken", (F.col("slot") > F.col("cut")) | ((F.col("slot") == F.col("cut")) & F.col("whole")))
+        settled = stage(settled.where(F.col("slot") >= F.col("cut")).select("g", "i", "v", "c", "d", "taken"), "settled")
+        chosen.append(settled.where("taken").select("g", "i", "v"))
         still = cuts.where(~F.col("whole"))
-        if still.isEmpty():
+        last = still.isEmpty()
+        release(open_rows, span) if turn == 0 else release(span)
+        if last:
+            release(cuts)
             break
-        open_rows = stage(placed.join(still, (F.col("g") == F.col("h")) & (F.col("slot") == F.col("cut"))).select("g", "i", "v", "c", "d"), "items")
+        open_rows, turn = settled.where(~F.col("taken")).select("g", "i", "v", "c", "d"), turn + 1
         need = still.select(F.col("h").alias("g"), F.col("left").alias("need"))
     out = chosen[0]
     for part in chosen[1:]:
