@@ -39,6 +39,14 @@ def p3_attributes(spark: SparkSession, folder: str) -> DataFrame:
     return signals.select("signal_id", "factor_id", *ENTITY, "signal_at", "value").join(wanted, "signal_id", "left")
 
 
+def p3_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    """What was known by each signal's time about its asset's state of four weeks before."""
+    signals = table(spark, folder, "signals").select("signal_id", *ENTITY, "signal_at", F.date_sub(F.to_date("signal_at"), 28).alias("day"))
+    versions = table(spark, folder, "download_all").withColumnRenamed("date", "known_date").withColumnRenamed("row_id", "version_row")
+    known = as_known(signals, versions, ENTITY, "signal_at", "known_date", "loaded_at", "version_row", ["version_row", "known_date", "close"], valid_at="day")
+    return known.select("signal_id", "day", "version_row", "known_date", "close")
+
+
 def p6_flags(spark: SparkSession, folder: str) -> DataFrame:
     price, volume = [F.col(c) for c in ("close", "high", "low")], F.col("volume")
     tests = [*(p <= 0 for p in price), volume < 0, F.col("low") > F.col("high"), F.col("close") < F.col("low"), F.col("close") > F.col("high")]
@@ -62,7 +70,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_versions(spark, folder).select(*ENTITY, F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"), F.coalesce(F.date_format("valid_to", "yyyy-MM-dd"), F.lit("")).alias("valid_to"))
 
 
-QUERIES = {"p2_rolling": p2_rolling, "p3_found": p3_found, "p3_attributes": p3_attributes, "p6_found": p6_found, "p6_flags": p6_flags, "p7_found": p7_found, "p7_versions": p7_versions}
+QUERIES = {"p2_rolling": p2_rolling, "p3_found": p3_found, "p3_attributes": p3_attributes, "p3_as_of": p3_as_of, "p6_found": p6_found, "p6_flags": p6_flags, "p7_found": p7_found, "p7_versions": p7_versions}
 
 _CURRENT = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market, asset, date ORDER BY loaded_at DESC, row_id) AS rn FROM download_all) WHERE rn = 1"
 _P3 = """SELECT s.signal_id, d.row_id, d.date, d.tradable, d.market_cap, d.forward_return_20d,
@@ -132,6 +140,9 @@ SQL = {
     "p2_rolling": _p2_sql(),
     "p3_found": f"SELECT signal_id, row_id FROM ({_P3}) WHERE rn = 1",
     "p3_attributes": f"SELECT s.signal_id, s.factor_id, s.market, s.asset, s.signal_at, s.value, k.date AS known_date, k.tradable, k.market_cap, k.forward_return_20d FROM signals s LEFT JOIN (SELECT * FROM ({_P3}) WHERE rn = 1) k ON s.signal_id = k.signal_id",
+    "p3_as_of": """SELECT signal_id, day, row_id AS version_row, date AS known_date, close FROM (SELECT s.signal_id, s.signal_at::DATE - 28 AS day, d.row_id, d.date, d.close,
+    row_number() OVER (PARTITION BY s.signal_id ORDER BY d.date DESC, d.loaded_at DESC, d.row_id) AS rn
+  FROM signals s JOIN download_all d ON s.market = d.market AND s.asset = d.asset AND d.loaded_at <= s.signal_at AND d.date <= s.signal_at::DATE - 28) WHERE rn = 1""",
     "p6_found": _p6_sql() + "SELECT row_id FROM j WHERE impossible OR frozen OR spike",
     "p6_flags": _p6_sql() + "SELECT row_id, impossible, frozen, spike FROM j WHERE impossible OR frozen OR spike",
     "p7_found": _P7 + " SELECT market, asset, strftime(valid_from, '%Y-%m-%d') AS valid_from, coalesce(strftime(valid_to, '%Y-%m-%d'), '') AS valid_to FROM ver",

@@ -3,6 +3,8 @@
 import random
 from datetime import date, datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from loomgrid.operators.bitemporal import as_known, rectangles
 
 V = "row_id bigint, asset string, date date, loaded_at timestamp, cap double, value double, _t string"
@@ -61,11 +63,35 @@ def test_empty_sides(spark):
 def test_rectangles_are_disjoint_and_locate_the_same_version(spark):
     events, versions = _data(5)
     _, v = _frames(spark, events, versions)
-    rects = [r for r in rectangles(v, ["asset"], "date", "loaded_at", "row_id", cell_seconds=5 * 86_400).collect()]
+    until = max(t for *_, t in events if t)
+    rects = rectangles(v, ["asset"], "date", "loaded_at", "row_id", F.lit(until), cell_seconds=5 * 86_400).collect()
     for a in ("A", "B"):
         own = sorted((r for r in rects if r.asset == a), key=lambda r: r.recorded_from)
-        assert all(x.recorded_to == y.recorded_from for x, y in zip(own, own[1:])) and own[-1].recorded_to is None
+        assert all(x.recorded_to == y.recorded_from for x, y in zip(own, own[1:])) and own[-1].recorded_to > until
+        assert all(x.recorded_to - x.recorded_from <= timedelta(days=5) for x in own)
     want = {s: r for s, r, _ in _brute(events, versions)}
     for s, a, t in events:
-        hit = [r.tie for r in rects if a is not None and t is not None and r.asset == a and r.recorded_from <= t and (r.recorded_to is None or t < r.recorded_to)]
+        hit = [r.tie for r in rects if a is not None and t is not None and r.asset == a and r.recorded_from <= t and t < r.recorded_to]
         assert hit == ([want[s]] if s in want else [])
+
+
+def test_bounded_valid_time_against_brute_force(spark):
+    rng = random.Random(7)
+    events, versions = _data(6)
+    asked = [(s, a, t, date(2019, 1, 1) + timedelta(rng.randrange(600)) if rng.random() > 0.1 else None) for s, a, t in events]
+    e = spark.createDataFrame(asked, "signal_id bigint, asset string, signal_at timestamp, day date")
+    _, v = _frames(spark, [], versions)
+    out = as_known(e, v, ["asset"], "signal_at", "date", "loaded_at", "row_id", ["row_id"], valid_at="day").collect()
+    want = []
+    for s, a, t, day in asked:
+        best = _brute([(s, a, t)], [x for x in versions if day and x[2] and x[2] <= day])
+        want += [(b[0], b[1]) for b in best]
+    assert sorted((r.signal_id, r.row_id) for r in out) == sorted(want) and len(want) > 80
+
+
+def test_valid_days_beyond_the_blocks(spark):
+    rows = [(1, "A", date(1700, 1, 1), datetime(2020, 1, 1), None), (2, "A", date(2020, 1, 1), datetime(2020, 1, 1), None)]
+    _, v = _frames(spark, [], rows)
+    e = spark.createDataFrame([(i, "A", datetime(2021, 1, 1), d) for i, d in enumerate([date(1650, 1, 1), date(2019, 12, 31), date(2020, 1, 1), date(9999, 12, 31)])], "signal_id bigint, asset string, signal_at timestamp, day date")
+    out = as_known(e, v, ["asset"], "signal_at", "date", "loaded_at", "row_id", ["row_id"], valid_at="day").collect()
+    assert sorted((r.signal_id, r.row_id) for r in out) == [(1, 1), (2, 2), (3, 2)]

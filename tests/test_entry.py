@@ -46,7 +46,7 @@ def duck():
 
 
 def _plain(x):
-    if x is None or x != x or str(x) in ("NaT", "<NA>"):
+    if x is None or str(x) in ("nan", "NaT", "<NA>"):
         return ""
     if isinstance(x, (int, float)) and not isinstance(x, bool):
         return f"{float(x):.9g}"
@@ -54,7 +54,7 @@ def _plain(x):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["p2_rolling", "p3_found", "p6_found", "p7_found", "p7_versions", "daily_ic", "ts_arrays", "alphas_001_006", "audit_rollup", "membership", "backtest_long_only"])
+@pytest.mark.parametrize("name", ["p2_rolling", "p3_found", "p3_attributes", "p3_as_of", "p6_found", "p7_found", "p7_versions", "daily_ic", "ts_arrays", "alphas_001_006", "audit_rollup", "membership", "backtest_long_only"])
 def test_query_equals_its_sql(spark, duck, name):
     import __spark_entry__ as e
 
