@@ -6,17 +6,20 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.session import stage
+
 #: Consecutive shared words that make a leak, and the words of one hashed gram.
 SHARED = 13
 GRAM = 8
-#: Words of test text in one block of the query set; a block is broadcast and costs one pass over the documents.
-BLOCK_WORDS = 1_000_000
+#: Fingerprints of test items in one block of the query set (8 bytes each); a block is broadcast and costs one pass over the documents.
+BLOCK = 4_000_000
 #: Characters of documents worked on at a time.
 SLICE_CHARS = 4_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -71,77 +74,60 @@ def winnow(codes: np.ndarray, starts: np.ndarray, gram: int = GRAM, shared: int
     return picked, h[picked]
 
 
-def _extends(a: list[str], i: int, b: list[str], j: int, gram: int, shared: int) -> bool:
-    """Whether the equal words around a hit are at least ``shared``."""
-    if a[i : i + gram] != b[j : j + gram]:
-        return False
-    left = 0
-    while left < shared - gram and i - left > 0 and j - left > 0 and a[i - left - 1] == b[j - left - 1]:
-        left += 1
-    right = gram
-    while left + right < shared and i + right < len(a) and j + right < len(b) and a[i + right] == b[j + right]:
-        right += 1
-    return left + right >= shared
-
-
-def _blocks(items: DataFrame, id: str, text: str, block_words: int, shared: int) -> Iterator[list[tuple[object, list[str]]]]:
-    """The test items in blocks of bounded size; a longer item is cut into overlapping stretches."""
-    block, held = [], 0
-    step = max(block_words, 2 * shared)
-    for row in items.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(id, text).toLocalIterator():
-        ws = words(row[1])
-        for start in range(0, max(1, len(ws) - shared + 1), step - shared + 1):
-            part = ws[start : start + step]
-            if block and held + len(part) > block_words:
-                yield block
-                block, held = [], 0
-            block.append((row[0], part))
-            held += len(part)
-    if block:
-        yield block
-
-
-def _scanner(block: Broadcast, shared: int, gram: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Fingerprints documents, looks them up in a block of items and extends the hits."""
-
-    def pairs_of(pdf: pd.DataFrame, hasher: _Hasher) -> pd.DataFrame:
-        fp, owner, offset, ids, lists = block.value
-        texts = [words(t) for t in pdf["t"]]
+def _fingerprints(gram: int, shared: int, block: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Selected grams of texts (``k, t``), or those of them in a block of fingerprints: ``k, fp, gram, before, after``.
+
+    ``before`` (nearest first) and ``after`` are the words around the gram, as many as decide whether ``shared`` are equal.
+    """
+    around = shared - gram
+
+    def of(batch: pa.RecordBatch, hasher: _Hasher) -> pa.RecordBatch:
+        texts = [words(t) for t in batch.column("t").to_pylist()]
         starts = np.concatenate([[0], np.cumsum([len(ws) for ws in texts])]).astype(np.int64)
         picked, h = winnow(hasher.array([w for ws in texts for w in ws]), starts, gram, shared)
-        low, high = np.searchsorted(fp, h, side="left"), np.searchsorted(fp, h, side="right")
-        pairs: set[tuple[int, int]] = set()
-        for k in np.flatnonzero(high > low):
-            at = int(picked[k])
-            d = int(np.searchsorted(starts, at, side="right") - 1)
-            for e in range(low[k], high[k]):
-                o = int(owner[e])
-                if (d, o) not in pairs and _extends(texts[d], at - int(starts[d]), lists[o], int(offset[e]), gram, shared):
-                    pairs.add((d, o))
-        ordered = sorted(pairs)
-        return pd.DataFrame({"d": pdf["d"].iloc[[d for d, _ in ordered]].to_numpy(), "i": [ids[o] for _, o in ordered]})
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if block is not None:
+            known = block.value
+            hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+            picked, h = picked[hit], h[hit]
+        owner = np.searchsorted(starts, picked, side="right") - 1
+        rows = {}
+        for d, at, fp in zip(owner.tolist(), (picked - starts[owner]).tolist(), h.view(np.int64).tolist()):
+            ws = texts[d]
+            rows[(d, fp, " ".join(ws[at : at + gram]), " ".join(ws[max(0, at - around) : at][::-1]), " ".join(ws[at + gram : at + shared]))] = None
+        d, fp, *context = zip(*rows) if rows else [()] * 5
+        columns = [batch.column("k").take(pa.array(d, pa.int64())), pa.array(fp, pa.int64()), *[pa.array(c, pa.string()) for c in context]]
+        return pa.RecordBatch.from_arrays(columns, names=["k", "fp", "gram", "before", "after"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
-        for pdf in batches:
-            # whole documents, about SLICE_CHARS of them at a time
-            share = (pdf["t"].str.len().cumsum() // SLICE_CHARS).to_numpy()
-            for _, part in pdf.groupby(share, sort=True):
-                yield pairs_of(part, hasher)
+        for batch in batches:
+            # whole texts, about SLICE_CHARS of them at a time
+            share = np.cumsum(pc.utf8_length(batch.column("t")).to_numpy(zero_copy_only=False)) // SLICE_CHARS
+            edges = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            for low, high in zip(edges, edges[1:]):
+                yield of(batch.slice(low, high - low), hasher)
 
     return scan
 
 
-def leaks(documents: DataFrame, id: str, text: str, items: DataFrame, item_id: str, item_text: str, shared: int = SHARED, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _common(a: str, b: str) -> str:
+    """Equal words at the beginning of two runs of words, as SQL."""
+    pairs = f"zip_with(split({a}, ' '), split({b}, ' '), (x, y) -> x <=> y AND x <> '')"
+    return f"coalesce(nullif(array_position({pairs}, false), 0) - 1, size({pairs}))"
+
+
+def leaks(documents: DataFrame, id: str, text: str, items: DataFrame, item_id: str, item_text: str, shared: int = SHARED, gram: int = GRAM, block_size: int = BLOCK) -> DataFrame:
     """Every pair of a document and a test item that share at least ``shared`` consecutive words: ``id, item_id``.
 
     Both sides are winnowed; the documents' fingerprints are joined with the items' on the hash, and each hit is extended
     word by word to both sides, so a pair comes out exactly if such a span exists.
 
-    Distribution: the items are a query set, taken in blocks of at most ``block_words`` words; a block's fingerprints are
-    broadcast (a proven bound) and each document is fingerprinted, joined and extended where it is read, so no text
-    and no fingerprint is shuffled. More items cost more passes, never more memory. Only found pairs are shuffled,
-    to make them distinct. A document is worked on whole, however long.
+    Distribution: the items are a query set. Their fingerprints are made and written by tasks; the hashes alone, in blocks of at most
+    ``block_size``, are broadcast one after the other, and destroyed when their pass over the documents is done. In a pass
+    each document is fingerprinted where it is read, and only its grams with a hash in the block are written, with the few
+    words around them. These hits join the items' fingerprints on the hash, where a hash that many documents share is a skewed side
+    that adaptive execution splits. No text and no other fingerprint is shuffled, none goes to the driver. More
+    items cost more passes (one per ``block_size``), never more memory. A document is worked on whole, however long.
 
     Nulls: documents or items with a null id or text have no pairs; empty or shorter texts have none either. Repeated
     documents and items give each pair once. With no items the result is empty. Other columns are ignored.
@@ -149,19 +135,28 @@ def leaks(documents: DataFrame, id: str, text: str, items: DataFrame, item_id: s
     if not 1 <= gram <= shared:
         raise ValueError("gram must be 1 to shared")
     spark = documents.sparkSession
-    asked = documents.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("d"), F.col(text).alias("t"))
-    schema = asked.select("d").schema
-    for f in items.select(F.col(item_id).alias("i")).schema.fields:
-        schema = schema.add(f)
-    found = spark.createDataFrame([], schema)
-    for block in _blocks(items, item_id, item_text, block_words, shared):
-        hasher = _Hasher()
-        lists = [ws for _, ws in block]
-        starts = np.concatenate([[0], np.cumsum([len(ws) for ws in lists])]).astype(np.int64)
-        place, fp = winnow(hasher.array([w for ws in lists for w in ws]), starts, gram, shared)
-        order = np.argsort(fp, kind="stable")
-        fp, place = fp[order], place[order]
-        owner = np.searchsorted(starts, place, side="right") - 1
-        shared_block = spark.sparkContext.broadcast((fp, owner, place - starts[owner], [i for i, _ in block], lists))
-        found = found.unionByName(asked.mapInPandas(_scanner(shared_block, shared, gram), schema))
-    return found.distinct().select(F.col("d").alias(id), F.col("i").alias(item_id))
+
+    def prints(df: DataFrame, key: str, text: str, block: Broadcast | None) -> DataFrame:
+        asked = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+        schema = asked.select("k").schema.add("fp", "long").add("gram", "string").add("before", "string").add("after", "string")
+        return asked.mapInArrow(_fingerprints(gram, shared, block), schema)
+
+    asked = stage(prints(items, item_id, item_text, None), "items").withColumnRenamed("k", "i")
+    hashes = asked.select("fp").distinct()
+    blocks = max(1, -(-hashes.count() // block_size))
+    hits: DataFrame | None = None
+    for b in range(blocks):
+        part = hashes.where(F.pmod(F.xxhash64("fp"), F.lit(blocks)) == b) if blocks > 1 else hashes
+        known = np.sort(part.toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64))
+        if not len(known):
+            continue
+        block = spark.sparkContext.broadcast(known)
+        found = stage(prints(documents, id, text, block), "hits")
+        block.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        hits = prints(documents.limit(0), id, text, None)
+    hits = hits.withColumnsRenamed({"k": "d", "gram": "g", "before": "b", "after": "a"})
+    both = hits.join(asked, "fp").where(F.col("g") == F.col("gram"))
+    spans = both.where(F.expr(f"{gram} + {_common('b', 'before')} + {_common('a', 'after')} >= {shared}"))
+    return spans.select(F.col("d").alias(id), F.col("i").alias(item_id)).distinct()

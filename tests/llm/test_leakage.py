@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark import Broadcast, SparkContext
 
 from loomgrid.llm.leakage import leaks, winnow, words
 
@@ -51,10 +52,39 @@ def test_every_shared_span_is_found_and_nothing_else(spark):
         docs, items = _cases(seed)
         want = _brute(docs, items)
         assert want and _leaks(spark, docs, items) == want
-        assert _leaks(spark, docs, items, block_words=100) == want
+        assert _leaks(spark, docs, items, block_size=40) == want
         assert _leaks(spark, docs, items, shared=10, gram=5) == _brute(docs, items, 10)
 
 
+def test_one_block_is_broadcast_at_a_time(spark, monkeypatch):
+    alive, most, sizes = set(), [0], []
+    make, end = SparkContext.broadcast, Broadcast.destroy
+
+    def broadcast(self, value):
+        b = make(self, value)
+        alive.add(id(b))
+        most[0] = max(most[0], len(alive))
+        sizes.append(len(value))
+        return b
+
+    def destroy(self, *args):
+        alive.discard(id(self))
+        end(self, *args)
+
+    monkeypatch.setattr(SparkContext, "broadcast", broadcast)
+    monkeypatch.setattr(Broadcast, "destroy", destroy)
+    docs, items = _cases(4)
+    assert _leaks(spark, docs, items, block_size=40) == _brute(docs, items)
+    assert len(sizes) > 4 and most == [1] and not alive and max(sizes) < 100
+
+
+def test_a_gram_that_most_documents_and_items_share(spark):
+    stock = " ".join(f"stock{k}" for k in range(9))
+    items = [(i, f"own{i} {stock} other{i}") for i in range(30)] + [(99, " ".join(f"stock{k}" for k in range(13)))]
+    docs = [(d, f"page{d} {stock} more{d}") for d in range(300)] + [(999, items[-1][1])]
+    assert _leaks(spark, docs, items) == {(999, 99)}
+
+
 def test_empty_sides(spark):
     docs, items = _cases(3)
     assert _leaks(spark, docs, []) == set() and _leaks(spark, [], items) == set()
