@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Branches below a root and leaves below a branch.
+from loomgrid.session import stage
+
+#: Nodes below a node.
 FAN_OUT = 16
-LEAVES = 4096
+#: Entities of a leaf, on average, where no number of leaves is given.
+LEAF_ENTITIES = 4
 
 
 def version_history(
@@ -18,7 +21,7 @@ def version_history(
     taken: str,
     latest: Sequence[Column],
     attributes: dict[str, Column],
-    leaves: int = LEAVES,
+    leaves: int | None = None,
     fan_out: int = FAN_OUT,
 ) -> DataFrame:
     """Every version of an entity's attributes with its period: keys, attributes, ``valid_from``, ``valid_to`` (NULL: open).
@@ -27,21 +30,24 @@ def version_history(
     A version starts at the entity's first snapshot and wherever a snapshot differs from the preceding one;
     an absent snapshot changes nothing. ``valid_to`` is the day before the next version's ``valid_from``.
 
-    Merkle comparison: entities are hashed into leaves, leaves into branches, branches into one root. A node's
-    hash for a day combines the hashes of its rows of that day. Consecutive days of a node are compared from
-    the root down; below a node whose hash is that of its preceding snapshot nothing is looked at, since the
+    Merkle comparison: entities are hashed into leaves, and ``fan_out`` nodes of a level into one of the level above, up to one
+    root. A node's hash for a day combines the hashes of its rows of that day. Consecutive days of a node are compared
+    from the root down; below a node whose hash is that of its preceding snapshot nothing is looked at, since the
     same entities were there with the same attributes. Only the rows of differing leaves are compared with their
     entity's preceding compared row, and changed ones become versions.
 
     A node hash is a pair of independent 64-bit sums, so two different contents agree with probability 2**-128.
 
-    Distribution: one row per entity and day after partial aggregation; hashes are partial sums by (node, day); the
-    descent is a semi join on (leaf, day); the comparison is a window per entity over days, bounded by the calendar.
-    Choose ``leaves`` in proportion to the entities, so that a leaf holds a few.
+    Distribution: the snapshots are read once, reduced to one row per entity and day with partial aggregation, and written with
+    their hashes; leaf sums are made once and written, and so is each level above, which adds up the one below. The descent is a semi join
+    on (node, day) per level; the comparison is a window per entity over days, bounded by the calendar. ``leaves`` is by
+    default a quarter of the (approximate) number of entities, so that a leaf holds a few.
 
     Nulls: attributes are compared null-safely, as prepared by the given expressions. A null key is an entity of its
     own; a row with a null day is no snapshot. Repeated rows count once. Empty in, empty out.
     """
+    if fan_out < 2:
+        raise ValueError("fan_out must be at least 2")
     keys, names = list(keys), list(attributes)
     kn = [f"_k{i}" for i in range(len(keys))]
     an = [f"_a{i}" for i in range(len(names))]
@@ -52,25 +58,33 @@ def version_history(
     )
     state = rows.groupBy(*kn, "_day").agg(F.max("_row").alias("_row")).select(*kn, "_day", *[F.col(f"_row.{a}").alias(a) for a in an])
     content = F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in [*kn, *an]])
-    state = state.withColumn("_leaf", F.pmod(F.xxhash64(*kn), F.lit(leaves)).cast("int")).withColumn("_branch", (F.col("_leaf") / (leaves // fan_out)).cast("int"))
-    hashed = state.select("_leaf", "_branch", "_day", F.xxhash64(content).alias("_h1"), F.xxhash64(F.lit(0x5BD1E995), content, F.lit("salt")).alias("_h2"))
+    state = stage(state.withColumns({"_entity": F.xxhash64(*kn), "_h1": F.xxhash64(content), "_h2": F.xxhash64(F.lit(0x5BD1E995), content, F.lit("salt"))}), "state")
+    if leaves is None:
+        leaves = state.agg(F.approx_count_distinct("_entity").alias("n")).first().n // LEAF_ENTITIES
+    depth = 0
+    while fan_out**depth < max(leaves, 1):
+        depth += 1
+    placed = state.withColumn("_node", F.pmod(F.xxhash64("_entity"), F.lit(fan_out**depth)))
 
-    def digest(df: DataFrame, *by: str) -> DataFrame:
+    def digest(df: DataFrame) -> DataFrame:
         """Sums of hashes as decimals, so that no order of addition and no overflow can change them."""
-        return df.groupBy(*by, "_day").agg(F.sum(F.col("_h1").cast("decimal(20,0)")).cast("decimal(38,0)").alias("_h1"), F.sum(F.col("_h2").cast("decimal(20,0)")).cast("decimal(38,0)").alias("_h2"), F.sum("_rows").alias("_rows"))
+        return df.groupBy("_node", "_day").agg(*[F.sum(F.col(h).cast("decimal(20,0)")).cast("decimal(38,0)").alias(h) for h in ("_h1", "_h2")], F.sum("_rows").alias("_rows"))
 
-    def differing(nodes: DataFrame, *by: str) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy("_day")
-        same = (F.col("_h1") == F.lag("_h1").over(w)) & (F.col("_h2") == F.lag("_h2").over(w)) & (F.col("_rows") == F.lag("_rows").over(w))
-        return nodes.withColumn("_same", F.coalesce(same, F.lit(False))).where(~F.col("_same")).select(*by, "_day")
+    def differing(nodes: DataFrame) -> DataFrame:
+        w = Window.partitionBy("_node").orderBy("_day")
+        same = F.lit(True)
+        for c in ("_h1", "_h2", "_rows"):
+            same = same & (F.col(c) == F.lag(c).over(w))
+        return nodes.withColumn("_same", F.coalesce(same, F.lit(False))).where(~F.col("_same")).select("_node", "_day")
 
-    leaf = digest(hashed.withColumn("_rows", F.lit(1).cast("bigint")), "_branch", "_leaf")
-    branch = digest(leaf, "_branch")
-    root = digest(branch.withColumn("_root", F.lit(0)), "_root")
-    days = differing(root, "_root").select("_day")
-    branches = differing(branch, "_branch").join(days, "_day", "left_semi")
-    changed = differing(leaf, "_branch", "_leaf").join(branches, ["_branch", "_day"], "left_semi").select("_leaf", "_day")
-    compared = state.join(changed, ["_leaf", "_day"], "left_semi").select(*kn, "_day", F.struct(*an).alias("_now"))
+    levels = [stage(digest(placed.withColumn("_rows", F.lit(1).cast("bigint"))), "leaves")]
+    for _ in range(depth):
+        levels.append(stage(digest(levels[-1].withColumn("_node", F.expr(f"_node div {fan_out}"))), "level"))
+    changed = differing(levels[-1])
+    for nodes in levels[-2::-1]:
+        below = differing(nodes).withColumn("_above", F.expr(f"_node div {fan_out}"))
+        changed = below.join(changed.select(F.col("_node").alias("_above"), "_day"), ["_above", "_day"], "left_semi").select("_node", "_day")
+    compared = placed.join(changed, ["_node", "_day"], "left_semi").select(*kn, "_day", F.struct(*an).alias("_now"))
     w = Window.partitionBy(*kn).orderBy("_day")
     differs = F.lag("_day").over(w).isNull() | ~F.col("_now").eqNullSafe(F.lag("_now").over(w))
     versions = compared.withColumn("_new", differs).where("_new").withColumn("_end", F.date_sub(F.lead("_day").over(w), 1))

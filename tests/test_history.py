@@ -33,7 +33,7 @@ def _brute(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("leaves,fan_out", [(4096, 16), (4, 2), (1, 1)])
+@pytest.mark.parametrize("leaves,fan_out", [(4096, 16), (4, 2), (1, 2), (None, 16)])
 def test_against_brute_force(spark, leaves, fan_out):
     rng = random.Random(7)
     rows = []
