@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.functions.expr import ExpressionError, complexity, genes, read_expression, render_gene, walk
+from loomgrid.functions.expr import ExpressionError, read_expression, structures
 from loomgrid.session import stage
 from loomgrid.sources.tables import table
 from loomgrid.streaming.bars import bars
@@ -37,8 +37,7 @@ def gene_table(trees: DataFrame, tree: str) -> DataFrame:
         for pdf in batches:
             rows = []
             for text in pdf["e"]:
-                for g in genes(read_expression(text)):
-                    rows.append((text, render_gene(g), complexity(g), [render_gene(x) for x in set(walk(g)) if x.op != "field" and x != g]))
+                rows += [(text, gene, size, sorted(inside)) for gene, (size, inside) in structures(read_expression(text)).items()]
             yield pd.DataFrame(rows, columns=["expression", "gene", "size", "inner"])
 
     return trees.select(F.col(tree).alias("e")).mapInPandas(each, "expression string, gene string, size int, inner array<string>")
@@ -68,9 +67,7 @@ def _zoo(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "frequent_structures": lambda s, d: frequent_structures(_zoo(s, d), "expression"),
     "event_bars": lambda s, d: bars(table(s, d, "events")),
-    "event_json": lambda s, d: table(s, d, "events").select("event_id", F.json_object_keys("props").alias("keys")).select(F.size("keys").alias("n_keys")).groupBy("n_keys").agg(F.count(F.lit(1)).alias("n")),
 }
 SQL = {
     "event_bars": "SELECT date_trunc('day', ts)::DATE AS date, event_type AS asset, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(value) AS volume FROM events GROUP BY ALL",
-    "event_json": "SELECT len(json_keys(props)) AS n_keys, count(*) AS n FROM events GROUP BY ALL",
 }

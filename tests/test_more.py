@@ -44,25 +44,40 @@ def test_alignment_export_and_backfill(spark):
     assert spark.range(1).select(float32_range(F.lit(1e39))).first()[0] is None
 
 
+HEAD = 'def factor_a(df):\n    "What it does."\n    '
+
+
 @pytest.mark.parametrize(
     "source,want",
     [
-        ("x = df['close'].shift(-1)", ["negative_shift"]),
-        ("x = df.diff(periods=-n)", ["negative_shift"]),
-        ("x = df.shift(1).rolling(3, center=True).mean()[::-1]", ["centred_window", "reversed_slice"]),
-        ("import os\nfor a in b:\n    while True:\n        pass", ["endless_loop", "import", "nested_loop"]),
-        ("def f(df):\n    return df.shift(periods=2)", []),
+        (HEAD + "return df['close'].shift(-1)", ["negative_shift"]),
+        (HEAD + "return df['close'].shift(1, -2)", ["negative_shift"]),
+        (HEAD + "return df.diff(periods=-n)", ["negative_shift"]),
+        (HEAD + "return df.diff(periods=2 * -3)", ["negative_shift"]),
+        (HEAD + "return df.diff(-(-3)).shift(2, fill_value=-1)", []),
+        (HEAD + "return df.shift(1).rolling(3, center=True).mean()[::-1]", ["centred_window", "reversed_slice"]),
+        (HEAD + "for a in df:\n        while 1:\n            pass", ["endless_loop", "nested_loop"]),
+        (HEAD + "for a in df:\n        pass\n    for b in df:\n        pass", []),
+        (HEAD + "return eval('df')", ["forbidden_name"]),
+        ("import os\n" + HEAD + "return 1", ["import"]),
+        ("def f(df, n):\n    return df.shift(periods=2)", ["function_name", "argument_count", "no_docstring"]),
+        ("x = 1", ["function_count"]),
         ("def (", ["unparsable"]),
-        (None, []),
+        ("", ["unparsable"]),
+        (None, ["unparsable"]),
     ],
 )
 def test_code_scan(source, want):
     assert findings(source) == want
 
 
-def test_code_scan_of_a_frame(spark):
-    df = spark.createDataFrame([("x.shift(-2)",), (None,), ("x",)], "source string")
-    assert [r.findings for r in scan(df, "source").collect()] == [["negative_shift"], [], []]
+def test_code_scan_finds_planted_faults(spark):
+    sound = [f"{HEAD}return df['close'].rolling({i}).mean()" for i in range(2, 40)]
+    faults = {"negative_shift": ".shift(-{i})", "centred_window": ".rolling({i}, center=True).sum()", "reversed_slice": "[::-{i}]"}
+    planted = {(f"{HEAD}return df['close']" + text.format(i=i)): rule for rule, text in faults.items() for i in range(2, 12)}
+    df = spark.createDataFrame([(x,) for x in [*sound, *planted, None]], "source string")
+    got = {r.source: r.findings for r in scan(df, "source").collect()}
+    assert all(got[s] == [] for s in sound) and all(got[s] == [rule] for s, rule in planted.items()) and got[None] == ["unparsable"]
 
 
 def test_json_in_text():
