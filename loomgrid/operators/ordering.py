@@ -36,3 +36,32 @@ def running_total(df: DataFrame, by: Sequence[str], order: Sequence[Column], wei
     joined = here.join(sums, on)
     out = [F.col(c) for c in df.columns] + [(F.col("_off") + F.col("_run")).alias(before)]
     return joined.select(*out, *([F.col("_all").alias(total)] if total else []))
+
+
+def quantiles(df: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exact interpolated quantiles per group, ``by`` and one column per entry of ``wanted`` (name: column, share).
+
+    Values are counted with partial aggregation, laid out in one global order and summed up, so a group with a large part of
+    all rows, or of all distinct values, is spread over many tasks. Nulls and NaN are left out; a group or
+    column without values gives NULL; null groups are groups.
+    """
+    by, columns = list(by), list(dict.fromkeys(c for c, _ in wanted.values()))
+    kn = [f"_g{i}" for i in range(len(by))]
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias("v")) for i, c in enumerate(columns)])
+    long = df.select(*[F.col(b).alias(n) for b, n in zip(by, kn)], F.explode(cells).alias("_x")).select(*kn, F.col("_x.c").alias("_c"), F.col("_x.v").alias("_v"))
+    counts = long.groupBy(*kn, "_c", "_v").agg(F.count(F.lit(1)).alias("_k"))
+    seen = running_total(counts.withColumn("_k", F.when(F.col("_v").isNotNull(), F.col("_k")).otherwise(0)), [*kn, "_c"], [F.col("_v")], "_k", "_before", "_n")
+    picks = []
+    for name, (c, share) in wanted.items():
+        place = (F.col("_n") - 1) * F.lit(share)
+        for end, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            held = (F.col("_c") == columns.index(c)) & (F.col("_before") <= at) & (at < F.col("_before") + F.col("_k"))
+            picks.append(F.max(F.when(held, F.col("_v"))).alias(f"{end}_{name}"))
+        picks.append(F.max(F.when(F.col("_c") == columns.index(c), place - F.floor(place))).alias(f"at_{name}"))
+    found = seen.groupBy(*kn).agg(*picks)
+    return found.select(*[F.col(n).alias(b) for n, b in zip(kn, by)], *[(F.col(f"lo_{n}") + (F.col(f"hi_{n}") - F.col(f"lo_{n}")) * F.col(f"at_{n}")).alias(n) for n in wanted])
+
+
+def with_groups(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
+    """``df`` with the columns of ``groups``, which has one row per ``by``; null groups meet."""
+    return df.join(groups.withColumnsRenamed({b: f"_on_{b}" for b in by}), [F.col(b).eqNullSafe(F.col(f"_on_{b}")) for b in by], how).drop(*[f"_on_{b}" for b in by])

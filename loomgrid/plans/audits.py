@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgrid.operators.ordering import quantiles, running_total, with_groups
+from loomgrid.session import stage
 from loomgrid.sources.contract import factor_rows
 from loomgrid.sources.panel import current_bars
 from loomgrid.sources.tables import table
@@ -24,17 +24,16 @@ def latest_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 def audit_rollup(audit: DataFrame) -> DataFrame:
     """Per method: sizes, failures, unusable signals, medians."""
-    half = lambda c: F.percentile(c, F.lit(0.5))
+    audit = stage(audit.select("method", "status", "all_nan", "constant", "assets_unknown", "dates_unknown", "coverage", "seconds", *[f"frac_{s}_scorable" for s in SEGMENTS]), "audit")
     out = audit.groupBy("method").agg(
         F.count(F.lit(1)).alias("factors"),
         F.count_if(F.col("status") == "fail").alias("failed"),
         F.count_if("all_nan").alias("all_nan"),
         F.count_if("constant").alias("constant"),
         F.count_if((F.col("assets_unknown") > 0) | (F.col("dates_unknown") > 0)).alias("misaligned"),
-        half("coverage").alias("median_coverage"),
-        *[half(f"frac_{s}_scorable").alias(f"med_{s}_scorable") for s in SEGMENTS],
-        half("seconds").alias("sec_per_factor"),
     )
+    halves = {"median_coverage": ("coverage", 0.5), **{f"med_{s}_scorable": (f"frac_{s}_scorable", 0.5) for s in SEGMENTS}, "sec_per_factor": ("seconds", 0.5)}
+    out = with_groups(out, quantiles(audit, ["method"], halves), ["method"])
     return out.withColumn("fail_rate", F.col("failed") / F.col("factors")).withColumn("unusable", F.col("failed") + F.col("all_nan") + F.col("constant"))
 
 
@@ -68,18 +67,22 @@ def floor_comparison(rows: DataFrame, floor: str, choose: str, judge: str) -> tu
 
     Returns the pools and their rollup by method. The floor's ranks are joined to pools by market with rank <= size.
     """
-    usable = rows.where(F.col(choose).isNotNull() & F.col(judge).isNotNull())
-    top = usable.where(F.col("method") == floor)
-    top = top.withColumn("rn", F.row_number().over(Window.partitionBy("market").orderBy(F.desc(choose), "factor_id"))).select(F.col("market").alias("fm"), "rn", F.col(judge).alias("fv"))
-    half = lambda c: F.percentile(c, F.lit(0.5))
-    pools = usable.where(F.col("method") != floor).groupBy("method", "market", "seed").agg(F.count(F.lit(1)).alias("n"), half(judge).alias("median"), F.max(judge).alias("best"), F.avg((F.col(judge) > 0).cast("double")).alias("frac_positive"))
-    matched = pools.join(top, (F.col("market") == F.col("fm")) & (F.col("rn") <= F.col("n"))).groupBy("method", "market", "seed").agg(half("fv").alias("floor_median"), F.max("fv").alias("floor_best"))
+    usable = stage(rows.where(F.col(choose).isNotNull() & F.col(judge).isNotNull()), "usable")
+    top = running_total(usable.where(F.col("method") == floor).select("market", "factor_id", choose, judge), ["market"], [F.desc(choose), F.col("factor_id")], None, "_before")
+    top = top.select(F.col("market").alias("fm"), (F.col("_before") + 1).alias("rn"), F.col(judge).alias("fv"))
+    of = ["method", "market", "seed"]
+    rest = usable.where(F.col("method") != floor)
+    pools = rest.groupBy(*of).agg(F.count(F.lit(1)).alias("n"), F.max(judge).alias("best"), F.avg((F.col(judge) > 0).cast("double")).alias("frac_positive"), F.avg((F.abs(judge) > 2).cast("double")).alias("frac_above_2"))
+    pools = with_groups(pools, quantiles(rest, of, {"median": (judge, 0.5)}), of)
+    matched = pools.select(*of, "n").join(top, (F.col("market") == F.col("fm")) & (F.col("rn") <= F.col("n")))
+    matched = with_groups(matched.groupBy(*of).agg(F.max("fv").alias("floor_best")), quantiles(matched, of, {"floor_median": ("fv", 0.5)}), of)
     pools = pools.join(matched, ["method", "market", "seed"]).withColumn("beats_floor", F.col("median") > F.col("floor_median"))
-    rolled = pools.groupBy("method").agg(F.count(F.lit(1)).alias("pools"), half("n").alias("median_n"), half("median").alias("median_judged"), half("floor_median").alias("floor_median_judged"), F.avg(F.col("beats_floor").cast("double")).alias("beats_floor"))
+    half = lambda c: F.percentile(c, F.lit(0.5))  # noqa: E731  one value per pool
+    rolled = pools.groupBy("method").agg(F.count(F.lit(1)).alias("pools"), half("n").alias("median_n"), half("median").alias("median_judged"), half("floor_median").alias("floor_median_judged"), F.avg(F.col("beats_floor").cast("double")).alias("beats_floor"), half("frac_above_2").alias("frac_above_2"))
     return pools, rolled
 
 
-#: A factor's name with the round that made it.
+# Fixed value: how a factor's name states the run, the round and the rest.
 ROUND = r"^(.+?_s\d+)_r(\d+)_(.+)$"
 
 
@@ -107,52 +110,79 @@ def universe_key(bars: DataFrame) -> DataFrame:
 METRICS = ("ic", "icir", "rank_ic", "rank_icir", "mi")
 
 
-@dataclass(frozen=True)
-class Floors:
-    """Absolute lower bounds of a market."""
-
-    ic: float
-    icir: float
-    mi: float
-
-    def of(self, metric: str) -> float:
-        return {"ic": self.ic, "rank_ic": self.ic, "icir": self.icir, "rank_icir": self.icir, "mi": self.mi}[metric]
-
-
-# Published floors for qualified and elite candidates, and the percentiles of a generation they must reach.
-QUALIFIED = {"csi300": Floors(0.005, 0.05, 0.02), "": Floors(0.005, 0.05, 0.012)}
-ELITE = {"csi300": Floors(0.01, 0.1, 0.02), "": Floors(0.01, 0.1, 0.012)}
-QUALIFIED_AT, ELITE_AT = 0.65, 0.80
+# Published lower bounds for qualified and elite candidates by market (* for all others) and metric, and the
+# percentiles of a generation that each metric must reach.
+BOUNDS = """
+    csi300 qualified ic 0.005
+    csi300 qualified icir 0.05
+    csi300 qualified rank_ic 0.005
+    csi300 qualified rank_icir 0.05
+    csi300 qualified mi 0.02
+    csi300 elite ic 0.01
+    csi300 elite icir 0.1
+    csi300 elite rank_ic 0.01
+    csi300 elite rank_icir 0.1
+    csi300 elite mi 0.02
+    * qualified ic 0.005
+    * qualified icir 0.05
+    * qualified rank_ic 0.005
+    * qualified rank_icir 0.05
+    * qualified mi 0.012
+    * elite ic 0.01
+    * elite icir 0.1
+    * elite rank_ic 0.01
+    * elite rank_icir 0.1
+    * elite mi 0.012
+"""
+PERCENTILES = {"qualified": 0.65, "elite": 0.80}
+
+
+def bounds_by_market(level: str) -> dict[str, dict[str, float]]:
+    """The bounds of a level by metric, then by market."""
+    out: dict[str, dict[str, float]] = {}
+    for line in BOUNDS.split("\n"):
+        if line.strip():
+            market, named, metric, bound = line.split()
+            if named == level:
+                out.setdefault(metric, {})[market] = float(bound)
+    return out
 
 
 def classify_fitness(fitness: DataFrame, generation: list[str]) -> DataFrame:
     """Whether a candidate is qualified or elite: every metric at its generation's percentile and at its market's floor, and finite."""
     number = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in METRICS]
-    rows = fitness.dropDuplicates().select("candidate_id", "market", *[g for g in generation if g != "market"], *number)
-    cuts = rows.groupBy(*generation).agg(*[F.percentile(c, F.lit(q)).alias(f"_{c}_{k}") for c in METRICS for k, q in (("q", QUALIFIED_AT), ("e", ELITE_AT))])
-    both = rows.join(cuts, generation)
+    rows = stage(fitness.dropDuplicates().select("candidate_id", "market", *[g for g in generation if g != "market"], *number), "candidates")
+    both = with_groups(rows, quantiles(rows, generation, {f"_{c}_{level}": (c, q) for c in METRICS for level, q in PERCENTILES.items()}), generation)
 
-    def passes(k: str, floors: dict[str, Floors]) -> Column:
+    def passes(level: str) -> Column:
         out = F.lit(True)
-        for c in METRICS:
-            least = F.when(F.col("market") == "csi300", floors["csi300"].of(c)).otherwise(floors[""].of(c))
-            out = out & (F.col(c) >= least) & (F.col(c) >= F.col(f"_{c}_{k}"))
+        for metric, by_market in bounds_by_market(level).items():
+            least = F.lit(by_market["*"])
+            for market, bound in by_market.items():
+                if market != "*":
+                    least = F.when(F.col("market") == market, bound).otherwise(least)
+            out = out & (F.col(metric) >= least) & (F.col(metric) >= F.col(f"_{metric}_{level}"))
         return F.coalesce(out, F.lit(False))
 
-    both = both.withColumn("qualified", passes("q", QUALIFIED))
-    return both.select("candidate_id", *generation, "qualified", (F.col("qualified") & passes("e", ELITE)).alias("elite"))
+    both = both.withColumn("qualified", passes("qualified"))
+    return both.select("candidate_id", *generation, "qualified", (F.col("qualified") & passes("elite")).alias("elite"))
 
 
 def dimension_scores(fitness: DataFrame, zoo: list[str], temperature: float = 1.0) -> DataFrame:
-    """Per candidate and dimension 1 - the share of its zoo strictly above it, and the softmax of the gaps to 1."""
-    rows = fitness.dropDuplicates(["candidate_id"])
+    """Per candidate and dimension 1 - the share of its zoo strictly above it, and the softmax of the gaps to 1.
+
+    What is above a value is counted once per distinct value in one global order, so a large zoo is spread over many tasks.
+    """
     dims = {"effectiveness": "rank_ic", "stability": "rank_icir", "information": "mi"}
-    for d, c in dims.items():
-        v = F.when(~F.isnan(c), F.col(c))
-        rows = rows.withColumn(f"_{d}", v)
-        above = F.rank().over(Window.partitionBy(*zoo).orderBy(F.col(f"_{d}").desc_nulls_last())) - 1
-        n = F.count(f"_{d}").over(Window.partitionBy(*zoo))
-        rows = rows.withColumn(d, 1 - F.when(n == 0, 0.5).when(F.col(f"_{d}").isNull(), 1.0).otherwise(above / n))
+    rows = fitness.dropDuplicates(["candidate_id"])
+    cells = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.when(~F.isnan(c), F.col(c) + 0.0).alias("v")) for d, c in dims.items()]))
+    long = stage(rows.select("candidate_id", *zoo, cells.alias("_x")).select("candidate_id", *zoo, "_x.*"), "dimensions")
+    counts = long.where("v IS NOT NULL").groupBy(*zoo, "d", "v").agg(F.count(F.lit(1)).alias("k"))
+    counts = stage(running_total(counts, [*zoo, "d"], [F.desc("v")], "k", "above", "n").drop("k"), "above")
+    scored = with_groups(long, counts.drop("n"), [*zoo, "d", "v"])
+    scored = with_groups(scored, counts.groupBy(*zoo, "d").agg(F.max("n").alias("n")), [*zoo, "d"])
+    score = 1 - F.when(F.col("n").isNull(), 0.5).when(F.col("v").isNull(), 1.0).otherwise(F.col("above") / F.col("n"))
+    rows = scored.groupBy("candidate_id", *zoo).agg(*[F.max(F.when(F.col("d") == d, score)).alias(d) for d in dims])
     gaps = {d: (1 - F.col(d)) / temperature for d in dims}
     top = F.greatest(*gaps.values())
     weights = {d: F.exp(g - top) for d, g in gaps.items()}
@@ -211,7 +241,7 @@ QUERIES = {
     "contract_explode": contract_explode,
     "dedup_rounds": lambda s, d: dedup_rounds(_tagged(s, d), "name", ["run"], order="factor_id"),
     "universe_key": lambda s, d: universe_key(current_bars(s, d)),
-    "fitness_classify": lambda s, d: classify_fitness(table(s, d, "fitness"), ["market", "run"]),
+    "fitness_classify": lambda s, d: classify_fitness(table(s, d, "fitness"), ["market", "run", "generation"]),
     "fitness_dimensions": lambda s, d: _r(dimension_scores(table(s, d, "fitness"), ["market"])),
     "effective_check": lambda s, d: effective_check(table(s, d, "fitness"), ["market"]),
 }
@@ -219,18 +249,18 @@ QUERIES = {
 _LATEST = """la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run, factor_id ORDER BY audited_at DESC, status DESC) AS rn FROM (SELECT DISTINCT * FROM factor_audit)) WHERE rn = 1)"""
 _ADM = "(status = 'ok' AND " + " AND ".join(f"coalesce({s}_scorable, 0) >= 100" for s in SEGMENTS) + ")"
 _ROWS = "cr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run, shard_no ORDER BY delivered_at DESC) AS rn FROM mining_run) WHERE rn = 1), fr AS (SELECT DISTINCT ON (run, f.factor_id) run, method, market, seed, split, f.* FROM (SELECT run, method, market, seed, split, shard_no, unnest(factors) AS f FROM cr) ORDER BY run, f.factor_id, shard_no)"
-_SC = f"WITH {_ROWS}, u AS (SELECT method, market, seed, factor_id, CASE WHEN NOT isnan(train_metrics['ic']) THEN train_metrics['ic'] END AS ic, CASE WHEN NOT isnan(train_metrics['icir']) THEN train_metrics['icir'] END AS icir FROM fr), us AS (SELECT * FROM u WHERE ic IS NOT NULL AND icir IS NOT NULL), tp AS (SELECT market, icir AS fv, row_number() OVER (PARTITION BY market ORDER BY ic DESC, factor_id) AS rn FROM us WHERE method = 'gp'), po AS (SELECT method, market, seed, count(*) AS n, median(icir) AS md, max(icir) AS best, avg((icir > 0)::INT) AS frac_positive FROM us WHERE method <> 'gp' GROUP BY ALL), ma AS (SELECT p.method, p.market, p.seed, median(fv) AS floor_median, max(fv) AS floor_best FROM po p JOIN tp t ON p.market = t.market AND t.rn <= p.n GROUP BY ALL), pl AS (SELECT method, market, seed, n, md, best, frac_positive, floor_median, floor_best, md > floor_median AS beats_floor FROM po JOIN ma USING (method, market, seed))"
+_SC = f"WITH {_ROWS}, u AS (SELECT method, market, seed, factor_id, CASE WHEN NOT isnan(train_metrics['ic']) THEN train_metrics['ic'] END AS ic, CASE WHEN NOT isnan(train_metrics['icir']) THEN train_metrics['icir'] END AS icir FROM fr), us AS (SELECT * FROM u WHERE ic IS NOT NULL AND icir IS NOT NULL), tp AS (SELECT market, icir AS fv, row_number() OVER (PARTITION BY market ORDER BY ic DESC, factor_id) AS rn FROM us WHERE method = 'gp'), po AS (SELECT method, market, seed, count(*) AS n, median(icir) AS md, max(icir) AS best, avg((icir > 0)::INT) AS frac_positive, avg((abs(icir) > 2)::INT) AS frac_above_2 FROM us WHERE method <> 'gp' GROUP BY ALL), ma AS (SELECT p.method, p.market, p.seed, median(fv) AS floor_median, max(fv) AS floor_best FROM po p JOIN tp t ON p.market = t.market AND t.rn <= p.n GROUP BY ALL), pl AS (SELECT method, market, seed, n, md, best, frac_positive, frac_above_2, floor_median, floor_best, md > floor_median AS beats_floor FROM po JOIN ma USING (method, market, seed))"
 _o = lambda c: f"round({c} + 3.3e-12, 8) + 0.0"
-_FIT = "fit AS (SELECT DISTINCT candidate_id, run, market, coverage, " + ", ".join(f"CASE WHEN NOT isnan({c}) THEN {c} END AS {c}" for c in METRICS) + " FROM fitness)"
+_FIT = "fit AS (SELECT DISTINCT candidate_id, run, market, generation, coverage, " + ", ".join(f"CASE WHEN NOT isnan({c}) THEN {c} END AS {c}" for c in METRICS) + " FROM fitness)"
 
 
 def _class_sql() -> str:
-    cuts = ", ".join(f"quantile_cont({c}, {q}) AS {c}_{k}" for c in METRICS for k, q in (("q", QUALIFIED_AT), ("e", ELITE_AT)))
+    cuts = ", ".join(f"quantile_cont({c}, {q}) AS {c}_{level}" for c in METRICS for level, q in PERCENTILES.items())
 
-    def passes(k: str, floors: dict[str, Floors]) -> str:
-        return "coalesce(" + " AND ".join(f"{c} >= CASE WHEN market = 'csi300' THEN {floors['csi300'].of(c)} ELSE {floors[''].of(c)} END AND {c} >= {c}_{k}" for c in METRICS) + ", false)"
+    def passes(level: str) -> str:
+        return "coalesce(" + " AND ".join(f"{c} >= CASE WHEN market = 'csi300' THEN {b['csi300']} ELSE {b['*']} END AND {c} >= {c}_{level}" for c, b in bounds_by_market(level).items()) + ", false)"
 
-    return f"WITH {_FIT}, cu AS (SELECT market, run, {cuts} FROM fit GROUP BY ALL), b AS (SELECT fit.*, cu.* EXCLUDE (market, run) FROM fit JOIN cu USING (market, run)) SELECT candidate_id, market, run, {passes('q', QUALIFIED)} AS qualified, {passes('q', QUALIFIED)} AND {passes('e', ELITE)} AS elite FROM b"
+    return f"WITH {_FIT}, cu AS (SELECT market, run, generation, {cuts} FROM fit GROUP BY ALL), b AS (SELECT fit.*, cu.* EXCLUDE (market, run, generation) FROM fit JOIN cu ON fit.market IS NOT DISTINCT FROM cu.market AND fit.run IS NOT DISTINCT FROM cu.run AND fit.generation IS NOT DISTINCT FROM cu.generation) SELECT candidate_id, market, run, generation, {passes('qualified')} AS qualified, {passes('qualified')} AND {passes('elite')} AS elite FROM b"
 
 
 _DIMS = {"effectiveness": "rank_ic", "stability": "rank_icir", "information": "mi"}
@@ -244,8 +274,8 @@ SQL = {
     "audit_worst_runs": f"WITH {_LATEST} SELECT method, run, count(*) AS n FROM la WHERE status = 'fail' GROUP BY ALL ORDER BY n DESC, run LIMIT 15",
     "admission": f"WITH {_LATEST} SELECT method, count(*) AS factors, count_if(status = 'ok') AS executed, count_if({_ADM}) AS admitted, count_if(status = 'ok' AND train_scorable = 0 AND valid_scorable = 0 AND test_scorable = 0) AS constant, round(count_if({_ADM}) * 100.0::DOUBLE / count(*), 1) AS admitted_pct FROM la GROUP BY method",
     "funnel": f"WITH {_LATEST} SELECT coalesce(method, 'TOTAL') AS method, count(*) AS harvested, count_if(NOT (status <> 'ok' AND error_type IN ('FactorExecutionError', 'SyntaxError', 'IndentationError'))) AS computes, count_if({_ADM}) AS admitted, count_if({_ADM} AND frac_test_scorable >= 0.95) AS eligible, round(count_if({_ADM}) * 100.0::DOUBLE / count(*), 1) AS kept_pct FROM la GROUP BY ROLLUP (method)",
-    "floor_pools": f"{_SC} SELECT method, market, seed, n, {_o('md')} AS median, {_o('best')} AS best, {_o('frac_positive')} AS frac_positive, {_o('floor_median')} AS floor_median, {_o('floor_best')} AS floor_best, beats_floor FROM pl",
-    "floor_compare": f"{_SC} SELECT method, count(*) AS pools, {_o('median(n)')} AS median_n, {_o('median(md)')} AS median_judged, {_o('median(floor_median)')} AS floor_median_judged, {_o('avg(beats_floor::INT)')} AS beats_floor FROM pl GROUP BY method",
+    "floor_pools": f"{_SC} SELECT method, market, seed, n, {_o('md')} AS median, {_o('best')} AS best, {_o('frac_positive')} AS frac_positive, {_o('frac_above_2')} AS frac_above_2, {_o('floor_median')} AS floor_median, {_o('floor_best')} AS floor_best, beats_floor FROM pl",
+    "floor_compare": f"{_SC} SELECT method, count(*) AS pools, {_o('median(n)')} AS median_n, {_o('median(md)')} AS median_judged, {_o('median(floor_median)')} AS floor_median_judged, {_o('avg(beats_floor::INT)')} AS beats_floor, {_o('median(frac_above_2)')} AS frac_above_2 FROM pl GROUP BY method",
     "contract_explode": f"WITH {_ROWS} SELECT run, method, market, seed, factor_id, type, name, grammar, language, length(coalesce(expression, source)) AS n_text, train_metrics['ic'] AS ic, split['train'][1]::DATE AS train_start FROM fr",
     "dedup_rounds": """WITH t AS (SELECT DISTINCT run, shard_no, f.factor_id AS factor_id, CASE WHEN regexp_extract(coalesce(f.expression, ''), '^\\W*([A-Za-z]+)', 1) <> '' THEN concat_ws('_', run, 'r' || shard_no, lower(regexp_extract(coalesce(f.expression, ''), '^\\W*([A-Za-z]+)', 1))) ELSE f.name END AS name FROM (SELECT run, shard_no, unnest(factors) AS f FROM mining_run)),
   x AS (SELECT *, regexp_extract(name, '^(.+?_s\\d+)_r(\\d+)_(.+)$', 2) AS rd, regexp_extract(name, '^(.+?_s\\d+)_r(\\d+)_(.+)$', 3) AS st FROM t),
