@@ -11,6 +11,7 @@ from loomgrid.functions.stats import average_rank, centred_corr, newey_west, per
 from loomgrid.plans.compile import evaluate
 from loomgrid.plans.dialect import to_sql
 from loomgrid.plans.factors import SIGNALS, stable, stable_sql
+from loomgrid.session import stage
 from loomgrid.sources.panel import DEFAULT_SPLIT, GRID_SQL, Split, market_grid
 
 DAILY = ("factor", "market", "date")
@@ -33,9 +34,16 @@ def signal_sql(names: Sequence[str] = tuple(SIGNALS), members: bool = True) -> s
 
 def daily_ic(signals: DataFrame, least: int = 2) -> DataFrame:
     """Per factor, market and date: pairs, Pearson and Spearman correlation of signal and target."""
-    both = signals.where(F.col("value").isNotNull() & F.col("target").isNotNull())
-    ranked = both.withColumns({"rv": average_rank(F.col("value"), DAILY), "rt": average_rank(F.col("target"), DAILY)})
-    return ranked.groupBy(*DAILY).agg(F.count(F.lit(1)).alias("n_assets"), F.round(centred_corr(F.col("value"), F.col("target"), least), 10).alias("ic"), F.round(centred_corr(F.col("rv"), F.col("rt"), least), 10).alias("rank_ic"))
+    return daily_with_flat(signals, least).where("n_assets > 0").drop("flat")
+
+
+def daily_with_flat(signals: DataFrame, least: int = 2) -> DataFrame:
+    """The same, with dates without pairs, and whether a date has two or more values of which all are equal; one exchange."""
+    rows = signals.where(F.col("value").isNotNull()).withColumn("pair", F.col("target").isNotNull()).repartition(*DAILY)
+    ranked = rows.withColumns({"rv": average_rank(F.col("value"), [*DAILY, "pair"]), "rt": average_rank(F.col("target"), [*DAILY, "pair"])})
+    v, t, rv, rt = (F.when(F.col("pair"), F.col(c)) for c in ("value", "target", "rv", "rt"))
+    flat = (F.count("value") >= 2) & (F.max("value") == F.min("value"))
+    return ranked.groupBy(*DAILY).agg(F.count("target").alias("n_assets"), (F.round(centred_corr(v, t, least), 10) + 0.0).alias("ic"), (F.round(centred_corr(rv, rt, least), 10) + 0.0).alias("rank_ic"), flat.alias("flat"))
 
 
 _PAIRS = """pairs AS (SELECT *, rank() OVER (PARTITION BY factor, market, date ORDER BY value) + (count(*) OVER (PARTITION BY factor, market, date, value) - 1) / 2.0 AS rv,
@@ -46,7 +54,7 @@ def _corr_sql(x: str, y: str, least: int = 2) -> str:
     return f"CASE WHEN max({x}) > min({x}) AND max({y}) > min({y}) AND count(*) >= {least} THEN covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0) END"
 
 
-DAILY_SQL = f"{_PAIRS},\ndaily AS (SELECT factor, market, date, count(*) AS n_assets, round({_corr_sql('value', 'target')}, 10) AS ic, round({_corr_sql('rv', 'rt')}, 10) AS rank_ic FROM pairs GROUP BY factor, market, date)"
+DAILY_SQL = f"{_PAIRS},\ndaily AS (SELECT factor, market, date, count(*) AS n_assets, round({_corr_sql('value', 'target')}, 10) + 0.0 AS ic, round({_corr_sql('rv', 'rt')}, 10) + 0.0 AS rank_ic FROM pairs GROUP BY factor, market, date)"
 
 
 def segment_ic(daily: DataFrame, split: Split = DEFAULT_SPLIT, by: Sequence[str] = ("factor", "market"), population: bool = False) -> DataFrame:
@@ -91,12 +99,14 @@ def ic_table(signals: DataFrame, split: Split = DEFAULT_SPLIT, lags: int = 25, l
 
     A factor is admitted in a market if every one of the three segments has at least ``least_dates`` scorable dates.
     """
-    daily = daily_ic(signals)
+    every = stage(daily_with_flat(signals), "daily")  # one row per factor, market and date, read by all that follows
+    daily = every.where("n_assets > 0").drop("flat")
     segments = segment_ic(daily, split)
     signed = train_sign(segments).select("factor", "market", "sign")
     rows = daily.withColumn("segment", split.segment()).where(F.col("segment").isNotNull())
     hac = newey_west(rows, ["factor", "market", "segment"], "date", "ic", lags).select("factor", "market", "segment", "t_hac")
-    out = segments.join(signed, ["factor", "market"]).join(hac, ["factor", "market", "segment"], "left").join(flat_dates(signals, split), ["factor", "market", "segment"], "left")
+    still = every.withColumn("segment", split.segment()).where("segment IS NOT NULL").groupBy("factor", "market", "segment").agg(F.count_if("flat").alias("flat_dates"))
+    out = segments.join(signed, ["factor", "market"]).join(hac, ["factor", "market", "segment"], "left").join(still, ["factor", "market", "segment"], "left")
     whole = Window.partitionBy("factor", "market")
     admitted = (F.min("n_dates").over(whole) >= least_dates) & (F.count(F.lit(1)).over(whole) == 3)
     s = F.col("sign")

@@ -177,44 +177,54 @@ def target_books(scores: DataFrame, book: Book, by: Sequence[str] = ("market",))
     return rows.withColumn("weight", weight).where("weight IS NOT NULL").select(*day, "asset", "weight")
 
 
-def backtest(scores: DataFrame, returns: DataFrame, book: Book = Book()) -> DataFrame:
-    """Daily book of every market: returns, turnover, costs, exposures. ``scores``: market, asset, date, score; ``returns``: market, asset, date, ret.
+def backtest(scores: DataFrame, returns: DataFrame, book: Book = Book(), by: Sequence[str] = ("market",)) -> DataFrame:
+    """Daily book of every market: returns, turnover, costs, exposures. ``scores``: ``by``, asset, date, score; ``returns``: market, asset, date, ret.
 
     A book formed on every ``rebalance``-th trading day is held from ``lag`` + 1 days later until the next non-empty one.
     Between those days a position is its weight times the asset's compounded return, scaled to keep the gross exposure,
     which has a closed form: one window product per (book, asset), and no loop over days. Turnover is half the absolute
     difference to the drifted old book. A missing return is 0 for the drift and adds nothing to the return.
+
+    ``by`` holds ``market`` and, where many portfolios are run in one plan, what names them. Scores and returns are read
+    several times, so give them written.
     """
+    by = list(by)
     calendar = returns.select("market", "date").distinct().withColumn("t", F.row_number().over(Window.partitionBy("market").orderBy("date")) - 1)
     length = calendar.groupBy("market").agg(F.max("t").alias("last"))
-    formed = target_books(scores, book).join(calendar, ["market", "date"]).where(F.col("t") % book.rebalance == 0)
-    weights = formed.withColumn("e", F.col("t") + book.lag + 1).join(length, "market").where(F.col("e") <= F.col("last")).select("market", "asset", "e", "weight")
-    starts = weights.select("market", "e").distinct()
-    starts = starts.withColumn("next", F.lead("e").over(Window.partitionBy("market").orderBy("e"))).join(length, "market")
+    formed = target_books(scores, book, by).join(calendar, ["market", "date"]).where(F.col("t") % book.rebalance == 0)
+    weights = stage(formed.withColumn("e", F.col("t") + book.lag + 1).join(length, "market").where(F.col("e") <= F.col("last")).select(*by, "asset", "e", "weight"), "weights")
+    starts = weights.select(*by, "e").distinct()
+    starts = starts.withColumn("next", F.lead("e").over(Window.partitionBy(*by).orderBy("e"))).join(length, "market")
     # one more day than it is held: there the drifted book is what is traded away from
     held = starts.withColumn("t", F.explode(F.sequence("e", F.coalesce("next", F.col("last"))))).withColumn("closing", F.coalesce(F.col("t") == F.col("next"), F.lit(False)))
     days = returns.join(calendar, ["market", "date"]).select("market", "asset", "t", "ret")
-    cells = held.join(weights, ["market", "e"]).join(days, ["market", "asset", "t"], "left")
-    line = Window.partitionBy("market", "e", "asset").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    cells = held.join(weights, [*by, "e"]).join(days, ["market", "asset", "t"], "left")
+    line = Window.partitionBy(*by, "e", "asset").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     grown = F.coalesce(F.product(1 + F.coalesce("ret", F.lit(0.0))).over(line), F.lit(1.0))
     cells = cells.withColumn("g", F.col("weight") * grown)
-    one = Window.partitionBy("market", "e", "t")
+    one = Window.partitionBy(*by, "e", "t")
     total = F.sum(F.abs("g")).over(one)
     cells = cells.withColumn("h", F.when(total > 0, F.col("g") / total * F.sum(F.abs("weight")).over(one)).otherwise(F.col("g")))
-    open_ = cells.where(~F.col("closing"))
-    daily = open_.groupBy("market", "t").agg(
-        F.coalesce(F.sum(F.col("h") * F.col("ret")), F.lit(0.0)).alias("gross"),
+    # an asset has at most one held and one closing position on a day
+    is_open = ~F.col("closing")
+    positions = cells.groupBy(*by, "t", "asset").agg(
+        F.sum(F.when(is_open, F.col("h"))).alias("h"),
+        F.sum(F.when(is_open, F.col("h") * F.col("ret"))).alias("earned"),
+        F.sum(F.when(F.col("closing"), -F.col("h")).when(F.col("t") == F.col("e"), F.col("h"))).alias("d"),
+    )
+    daily = positions.groupBy(*by, "t").agg(
+        F.coalesce(F.sum("earned"), F.lit(0.0)).alias("gross"),
         F.sum(F.when(F.col("h") < 0, -F.col("h")).otherwise(F.lit(0.0))).alias("short"),
         F.count_if(F.col("h") > 0).alias("n_long"),
         F.count_if(F.col("h") < 0).alias("n_short"),
         F.sum(F.abs("h")).alias("gross_exposure"),
         F.sum("h").alias("net_exposure"),
+        (F.sum(F.abs("d")) / 2).alias("turnover"),
     )
-    moves = open_.where("t = e").select("market", "t", "asset", "h").unionByName(cells.where("closing").select("market", "t", "asset", (-F.col("h")).alias("h")))
-    traded = moves.groupBy("market", "t", "asset").agg(F.sum("h").alias("d")).groupBy("market", "t").agg((F.sum(F.abs("d")) / 2).alias("turnover"))
-    out = calendar.join(daily, ["market", "t"], "left").join(traded, ["market", "t"], "left").fillna(0.0, ["gross", "short", "gross_exposure", "net_exposure", "turnover"]).fillna(0, ["n_long", "n_short"])
+    every = calendar if by == ["market"] else scores.select(*by).distinct().join(calendar, "market")
+    out = every.join(daily, [*by, "t"], "left").fillna(0.0, ["gross", "short", "gross_exposure", "net_exposure", "turnover"]).fillna(0, ["n_long", "n_short"])
     trade, borrow = F.col("turnover") * (book.cost_bps / 1e4), F.col("short") * (book.borrow_bps / 1e4 / TRADING_DAYS)
-    return out.select("market", "date", "gross", "turnover", trade.alias("trade_cost"), borrow.alias("borrow_cost"), (F.col("gross") - trade - borrow).alias("net"), "n_long", "n_short", "gross_exposure", "net_exposure")
+    return out.select(*by, "date", "gross", "turnover", trade.alias("trade_cost"), borrow.alias("borrow_cost"), (F.col("gross") - trade - borrow).alias("net"), "n_long", "n_short", "gross_exposure", "net_exposure")
 
 
 def benchmark(grid: DataFrame) -> DataFrame:
@@ -260,10 +270,15 @@ def _selected(spark: SparkSession, folder: str, names: Sequence[str] = NAMES) ->
 
 def composite_scores(spark: SparkSession, folder: str, how: str = "equal") -> DataFrame:
     signals, selected = _selected(spark, folder, tuple(SIGNALS) if how == "ridge" else NAMES)
+    selected = stage(selected, "selected")
     weights = {"equal": equal_weights, "ic": ic_weights}[how](selected) if how != "ridge" else ridge_weights(signals, selected)
     return composite(signals, weights.select("market", "factor", "sign", "weight"))
 
 
+def _traded(spark: SparkSession, folder: str, book: Book) -> DataFrame:
+    return backtest(stage(composite_scores(spark, folder), "scores"), stage(_returns(spark, folder), "returns"), book)
+
+
 def _returns(spark: SparkSession, folder: str) -> DataFrame:
     return market_grid(spark, folder).select("market", "asset", "date", F.round("returns", 10).alias("ret"))
 
@@ -306,10 +321,10 @@ QUERIES = {
     "composite_ridge": lambda s, d: _rounded(composite_scores(s, d, "ridge"), 7),
     "book_long_only": lambda s, d: _rounded(target_books(composite_scores(s, d), LONG)),
     "book_long_short": lambda s, d: _rounded(target_books(composite_scores(s, d), SHORT)),
-    "backtest_long_only": lambda s, d: _rounded(backtest(composite_scores(s, d), _returns(s, d), LONG), 7),
-    "backtest_long_short": lambda s, d: _rounded(backtest(composite_scores(s, d), _returns(s, d), SHORT), 7),
+    "backtest_long_only": lambda s, d: _rounded(_traded(s, d, LONG), 7),
+    "backtest_long_short": lambda s, d: _rounded(_traded(s, d, SHORT), 7),
     "benchmark_returns": lambda s, d: _rounded(benchmark(market_grid(s, d))),
-    "perf_metrics": lambda s, d: _rounded(performance(backtest(composite_scores(s, d), _returns(s, d), LONG), benchmark(market_grid(s, d))), 6),
+    "perf_metrics": lambda s, d: _rounded(performance(_traded(s, d, LONG), benchmark(market_grid(s, d))), 6),
     "composite_style": lambda s, d: _rounded(composite_style(s, d), 6),
     "backtest_grid": backtest_grid,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,85 +11,101 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions.stats import average_rank, centred_corr, percent_rank_avg
 from loomgrid.plans.evaluation import DAILY, _rounded, _sql, signal_sql, signal_table
+from loomgrid.session import stage
 from loomgrid.sources.panel import DEFAULT_SPLIT, Split
 
-#: Factors up to which pairs are made by a join; beyond, a date's matrix is multiplied in one task.
-JOIN_FACTORS = 50
-
 
 def _ranked(signals: DataFrame) -> DataFrame:
-    return signals.where(F.col("value").isNotNull()).withColumn("rank", average_rank(F.col("value"), DAILY))
+    """Values with their ranks by date, written once."""
+    rows = signals.where(F.col("value").isNotNull()).withColumn("rank", average_rank(F.col("value"), DAILY))
+    return stage(rows.select("market", "date", "asset", "factor", "value", "rank"), "ranked")
 
 
-def pair_corr(signals: DataFrame, least: int = 20) -> DataFrame:
+def pair_corr(signals: DataFrame, least: int = 20, ranked: bool = False) -> DataFrame:
     """Per market, date and pair f_i <= f_j: shared assets, Pearson and Spearman correlation, pairwise complete.
 
     Ranks are each factor's own over all its assets of the date. NULL below ``least`` shared assets or where a side is flat.
+    The factors of an asset and date meet in one row, which makes its pairs; these are summed up before they are shuffled.
     """
-    rows = _ranked(signals).select("market", "date", "asset", "factor", "value", "rank")
-    other = rows.select("market", "date", "asset", F.col("factor").alias("f_j"), F.col("value").alias("y"), F.col("rank").alias("ry"))
-    both = rows.withColumnRenamed("factor", "f_i").join(other, ["market", "date", "asset"]).where("f_i <= f_j")
-    return both.groupBy("market", "date", "f_i", "f_j").agg(F.count(F.lit(1)).alias("n"), centred_corr(F.col("value"), F.col("y"), least).alias("pearson"), centred_corr(F.col("rank"), F.col("ry"), least).alias("spearman"))
+    rows = signals if ranked else _ranked(signals)
+    cells = rows.groupBy("market", "date", "asset").agg(F.sort_array(F.collect_list(F.struct("factor", "value", "rank"))).alias("c"))
+    pairs = "flatten(transform(c, (x, i) -> transform(slice(c, i + 1, size(c) - i), y -> struct(x.factor AS f_i, y.factor AS f_j, x.value AS x, y.value AS y, x.rank AS rx, y.rank AS ry))))"
+    both = cells.select("market", "date", F.explode(F.expr(pairs)).alias("p")).select("market", "date", "p.*")
+    return both.groupBy("market", "date", "f_i", "f_j").agg(F.count(F.lit(1)).alias("n"), centred_corr(F.col("x"), F.col("y"), least).alias("pearson"), centred_corr(F.col("rx"), F.col("ry"), least).alias("spearman"))
 
 
 def _matrix(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Shared counts and pairwise-complete correlations of the columns, from products of masked and centred matrices."""
     m = ~np.isnan(x)
     a = np.where(m, x - np.nanmean(np.where(m.any(axis=0), x, 0.0), axis=0), 0.0)
-    m = m.astype(float)
-    n = m.T @ m
+    w = m.astype(float)
+    n = w.T @ w
     with np.errstate(invalid="ignore", divide="ignore"):
-        sx, sxx = a.T @ m, (a * a).T @ m
+        sx, sxx = a.T @ w, (a * a).T @ w
         cov = a.T @ a - sx * sx.T / n
         vx = sxx - sx * sx / n
         c = cov / np.sqrt(vx * vx.T)
-        flat = (vx <= 1e-12 * sxx) | (vx.T <= 1e-12 * sxx.T)
-    c[(n < least) | flat | ~np.isfinite(c)] = np.nan
+    # a side is flat if all its shared values are equal, as in pair_corr; only pairs with next to no variance need the look
+    for i, j in np.argwhere((n >= least) & (vx <= 1e-9 * sxx)):
+        shared = x[m[:, i] & m[:, j], i]
+        if shared.max() == shared.min():
+            c[i, j] = c[j, i] = np.nan
+    c[(n < least) | ~np.isfinite(c)] = np.nan
     return n, np.clip(c, -1, 1)
 
 
-def pair_corr_matrix(signals: DataFrame, least: int = 20) -> DataFrame:
-    """The same as ``pair_corr`` for many factors: one matrix of assets by factors per date, a month of a market in a task, which is bounded by these."""
+def pair_corr_matrix(signals: DataFrame, least: int = 20, ranked: bool = False) -> DataFrame:
+    """The same as ``pair_corr`` for hundreds of factors: one matrix of assets by factors per date.
+
+    Dates lie sorted in their partitions and are multiplied one after the other; a task holds one date and one batch.
+    """
+    names = ["market", "date", "f_i", "f_j", "n", "pearson", "spearman"]
 
-    def correlate(pdf: pd.DataFrame) -> pd.DataFrame:
-        factor, names = pd.factorize(pdf["factor"].to_numpy(dtype=object), sort=True)
+    def of_date(pdf: pd.DataFrame) -> pd.DataFrame:
+        factor, factors = pd.factorize(pdf["factor"].to_numpy(dtype=object), sort=True)
         asset, assets = pd.factorize(pdf["asset"].to_numpy(dtype=object))
-        day, days = pd.factorize(pdf["date"].to_numpy(dtype=object))
-        cube = np.full((2, len(days), len(assets), len(names)), np.nan)
-        cube[0, day, asset, factor] = pdf["value"].to_numpy(float)
-        cube[1, day, asset, factor] = pdf["rank"].to_numpy(float)
-        i, j = np.triu_indices(len(names))
-        parts = []
-        for t in range(len(days)):
-            n, p = _matrix(cube[0, t], least)
-            _, s = _matrix(cube[1, t], least)
-            parts.append((n[i, j], p[i, j], s[i, j]))
-        n, p, s = (np.concatenate(x) for x in zip(*parts))
-        seen = n > 0
-        k = len(i)
-        out = pd.DataFrame({"market": pdf["market"].iloc[0], "date": np.repeat(days, k), "f_i": np.tile(names[i], len(days)), "f_j": np.tile(names[j], len(days)), "n": n.astype("int64"), "pearson": p, "spearman": s})
-        return out[seen]
-
-    month = F.trunc("date", "month")
-    out = _ranked(signals).select("market", "date", "asset", "factor", "value", "rank").groupBy("market", month).applyInPandas(correlate, "market string, date date, f_i string, f_j string, n bigint, pearson double, spearman double")
+        cube = np.full((2, len(assets), len(factors)), np.nan)
+        cube[0, asset, factor] = pdf["value"].to_numpy(float)
+        cube[1, asset, factor] = pdf["rank"].to_numpy(float)
+        i, j = np.triu_indices(len(factors))
+        n, p = _matrix(cube[0], least)
+        _, s = _matrix(cube[1], least)
+        columns = (pdf["market"].iloc[0], pdf["date"].iloc[0], factors[i], factors[j], n[i, j].astype("int64"), p[i, j], s[i, j])
+        return pd.DataFrame(dict(zip(names, columns)))[n[i, j] > 0]
+
+    def correlate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None
+        for pdf in batches:
+            pdf = pdf if left is None else pd.concat([left, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            edges = np.flatnonzero((pdf["market"] != pdf["market"].shift()) | (pdf["date"] != pdf["date"].shift())).tolist()
+            done = [of_date(pdf.iloc[low:high]) for low, high in zip(edges, edges[1:])]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+            left = pdf.iloc[edges[-1] :]
+        if left is not None:
+            yield of_date(left)
+
+    rows = (signals if ranked else _ranked(signals)).select("market", "date", "asset", "factor", "value", "rank")
+    out = rows.repartition("market", "date").sortWithinPartitions("market", "date").mapInPandas(correlate, "market string, date date, f_i string, f_j string, n bigint, pearson double, spearman double")
     return out.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("pearson", "spearman")})
 
 
-def mean_corr(signals: DataFrame, split: Split = DEFAULT_SPLIT, least: int = 20, share: float = 0.5, many: bool | None = None) -> DataFrame:
+def mean_corr(signals: DataFrame, split: Split = DEFAULT_SPLIT, least: int = 20, share: float = 0.5, many: bool = False) -> DataFrame:
     """Per market, segment and pair: mean daily correlations over valid dates and the number of Spearman values.
 
     A date is valid with at least two factors of ``least`` assets; a factor takes part if it has ``least`` assets on at
-    least ``share`` of the valid dates, otherwise its correlations are NULL. ``many`` chooses the matrix form; unless
-    given it is taken for more than JOIN_FACTORS factors.
+    least ``share`` of the valid dates, otherwise its correlations are NULL. ``many`` chooses the matrix form, for
+    hundreds of factors; both give the same.
     """
-    if many is None:
-        many = signals.select("factor").distinct().count() > JOIN_FACTORS
     seg = split.segment()
-    per = signals.where(F.col("value").isNotNull()).groupBy("market", "date", "factor").agg((F.count("value") >= least).alias("enough"))
+    ranked = _ranked(signals)
+    per = stage(ranked.groupBy("market", "date", "factor").agg((F.count("value") >= least).alias("enough")), "enough")
     dates = per.groupBy("market", "date").agg(F.count_if("enough").alias("k")).where("k >= 2").withColumn("segment", seg).where("segment IS NOT NULL").drop("k")
     valid = dates.groupBy("market", "segment").agg(F.count(F.lit(1)).alias("valid_dates"))
     kept = per.where("enough").join(dates, ["market", "date"]).groupBy("market", "segment", "factor").agg(F.count(F.lit(1)).alias("c")).join(valid, ["market", "segment"]).where(F.col("c") >= share * F.col("valid_dates")).select("market", "segment", "factor")
-    daily = (pair_corr_matrix if many else pair_corr)(signals, least).join(dates, ["market", "date"])
+    daily = (pair_corr_matrix if many else pair_corr)(ranked, least, True).join(dates, ["market", "date"])
     mean = daily.groupBy("market", "segment", "f_i", "f_j").agg(F.avg("pearson").alias("pearson"), F.avg("spearman").alias("spearman"), F.count("spearman").alias("n_pairs"))
     for side in ("f_i", "f_j"):
         mean = mean.join(kept.select("market", "segment", F.col("factor").alias(side), F.lit(True).alias(f"_{side}")), ["market", "segment", side], "left")

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions.expr import FIELDS
+from loomgrid.session import stage
 from loomgrid.sources.tables import table
 
 ENTITY = ("market", "asset")
+# Fixed value: the markets.
 MARKETS = ("sp100", "hsi", "csi300", "ftse100", "nikkei225")
 #: Columns that look ahead; never handed to a factor.
 FORWARD = ("forward_return_1d", "forward_return_5d", "forward_return_20d")
@@ -20,7 +22,7 @@ FORWARD = ("forward_return_1d", "forward_return_5d", "forward_return_20d")
 
 @dataclass(frozen=True)
 class Split:
-    """Three inclusive, chronological date ranges."""
+    """Three inclusive, chronological date ranges; the published ones are fixed values."""
 
     train: tuple[date, date] = (date(2017, 1, 1), date(2021, 11, 30))
     valid: tuple[date, date] = (date(2022, 1, 1), date(2023, 11, 29))
@@ -71,9 +73,12 @@ def dense_grid(bars: DataFrame, values: Sequence[str], entity: Sequence[str] = E
 
 
 def market_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """The grid with fields, returns and the 20-day target; everything that the evaluation queries start from."""
+    """The grid with fields, returns and the 20-day target; everything that the evaluation queries start from.
+
+    Deliveries are read once; the current bars are written, as calendar, cells and bars are all taken from them.
+    """
     line = Window.partitionBy(*ENTITY).orderBy("date")
-    grid = dense_grid(current_bars(spark, folder), [*FIELDS, "tradable"])
+    grid = dense_grid(stage(current_bars(spark, folder), "bars"), [*FIELDS, "tradable"])
     grid = grid.withColumn("returns", F.try_divide(F.col("close"), F.lag("close").over(line)) - 1)
     return grid.withColumn("target", F.try_divide(F.lead("close", 20).over(line), F.col("close")) - 1)
 
