@@ -44,9 +44,8 @@ def _log(c: Column) -> Column:
 
 
 def _middle(a: Column, b: Column, c: Column) -> Column:
-    """The median of three; of a alone where the others are absent."""
-    b, c = F.coalesce(b, a), F.coalesce(c, a)
-    return F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))
+    """The median of three; NULL where one is absent."""
+    return F.when(c.isNotNull(), F.greatest(F.least(a, b), F.least(F.greatest(a, b), c)))
 
 
 def _excursion(v: Column, p: Column, n: Column, far: Column, back: float) -> Column:
@@ -56,14 +55,20 @@ def _excursion(v: Column, p: Column, n: Column, far: Column, back: float) -> Col
 
 
 def _levels(s: str) -> dict[str, Column]:
-    """The level of the readings before and of those after: medians of three."""
+    """The level of the readings before and of those after, where there are three: their medians."""
     p1, p2, p3, n1, n2, n3 = (F.col(f"_{a}{i}_{s}") for a in "pn" for i in (1, 2, 3))
     return {f"_before_{s}": _middle(p1, p2, p3), f"_after_{s}": _middle(n1, n2, n3)}
 
 
+def _level(s: str, three: str, side: str) -> Column:
+    """The level on one side; of two neighbours the one farther from the reading, as the nearer may be part of its spike."""
+    x, a, b = F.col(f"_x_{s}"), F.col(f"_{side}1_{s}"), F.col(f"_{side}2_{s}")
+    return F.coalesce(F.col(f"_{three}_{s}"), F.when(F.abs(x - b) > F.abs(x - a), b).otherwise(a))
+
+
 def _off_level(s: str) -> Column:
     """A cheap test that every spike passes: off both levels, to the same side."""
-    a, b, far = F.col(f"_x_{s}") - F.col(f"_before_{s}"), F.col(f"_x_{s}") - F.col(f"_after_{s}"), F.col(f"_far_{s}")
+    a, b, far = F.col(f"_x_{s}") - _level(s, "before", "p"), F.col(f"_x_{s}") - _level(s, "after", "n"), F.col(f"_far_{s}")
     return F.coalesce((F.abs(a) > far) & (F.abs(b) > far) & (F.signum(a) == F.signum(b)), F.lit(False))
 
 

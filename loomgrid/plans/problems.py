@@ -108,9 +108,9 @@ def _p6_sql() -> str:
     def out(v: str, p: str, n: str, far: str) -> str:
         return f"(abs({v} - {p}) > {far} AND abs({v} - {n}) > {far} AND sign({v} - {p}) = sign({v} - {n}) AND abs({p} - {n}) < 0.5 * least(abs({v} - {p}), abs({v} - {n})))"
 
-    def mid(a: str, s: str) -> str:
-        x, y, z = f"{a}1_{s}", f"coalesce({a}2_{s}, {a}1_{s})", f"coalesce({a}3_{s}, {a}1_{s})"
-        return f"greatest(least({x}, {y}), least(greatest({x}, {y}), {z}))"
+    def mid(a: str, s: str, x: str) -> str:
+        one, two, three = f"{a}1_{s}", f"{a}2_{s}", f"{a}3_{s}"
+        return f"(CASE WHEN {three} IS NOT NULL THEN greatest(least({one}, {two}), least(greatest({one}, {two}), {three})) WHEN abs({x} - {two}) > abs({x} - {one}) THEN {two} ELSE {one} END)"
 
     tests = []
     for s in series:
@@ -118,7 +118,7 @@ def _p6_sql() -> str:
         far = f"15 * r_{s}" if s != "volume" else "5 * mad"
         p1, p2, n1, n2 = f"p1_{s}", f"p2_{s}", f"n1_{s}", f"n2_{s}"
         run = f"({out(x, p1, n1, far)} OR ({out(x, p1, n2, far)} AND {out(n1, p1, n2, far)} AND sign({x} - {p1}) = sign({n1} - {p1})) OR ({out(x, p2, n1, far)} AND {out(p1, p2, n1, far)} AND sign({x} - {n1}) = sign({p1} - {n1})))"
-        level = f"(abs({x} - {mid('p', s)}) > {far} AND abs({x} - {mid('n', s)}) > {far} AND sign({x} - {mid('p', s)}) = sign({x} - {mid('n', s)}))"
+        level = f"(abs({x} - {mid('p', s, x)}) > {far} AND abs({x} - {mid('n', s, x)}) > {far} AND sign({x} - {mid('p', s, x)}) = sign({x} - {mid('n', s, x)}))"
         own = f" AND abs({x} - med) > 10 * mad AND mad > 0" if s == "volume" else f" AND r_{s} > 0"
         tests.append(f"coalesce({run} AND {level}{own}, false)")
     return f"""WITH cur AS ({_CURRENT}),

@@ -85,3 +85,13 @@ def test_null_keys_and_constant_sources(spark):
     rows[20][3] *= 9
     assert _flags(spark, rows) == {20: "s", **{900 + k: "f" for k in range(9)}}
     assert _flags(spark, rows, Rules(frozen=10)) == {20: "s"}
+
+
+def test_spikes_of_two_bars_with_one_bar_beside_them(spark):
+    rows = _series("A", 60) + _series("B", 60, 1000, 3)
+    for k in (57, 58):  # one ordinary bar after them
+        rows[k][3] *= 4
+    for k in (1, 2):  # one ordinary bar before them
+        rows[60 + k][6] *= 50
+    rows[60 + 57][3] *= 4  # a lone spike with two bars after it
+    assert _flags(spark, rows) == {57: "s", 58: "s", 1001: "s", 1002: "s", 1057: "s"}
