@@ -14,6 +14,7 @@ from loomgrid.plans.compile import evaluate
 from loomgrid.plans.evaluation import _rounded
 from loomgrid.plans.factors import SIGNALS
 from loomgrid.plans.problems import p7_versions
+from loomgrid.session import stage
 from loomgrid.sources.panel import ENTITY, FORWARD, GRID_SQL, MARKETS, current_bars, dense_grid, market_grid
 
 PRICES = ("open", "high", "low", "close")
@@ -35,13 +36,13 @@ def panel_violations(bars: DataFrame) -> DataFrame:
     return per.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in tests], F.count_if(F.col("_n") > 1).alias("repeated_key"))
 
 
-def target_validate(bars: DataFrame, tolerance: float = 1e-10) -> DataFrame:
-    """Per market the rows whose delivered 20-day target and the recomputed one are both present, and those that differ."""
+def target_validate(bars: DataFrame, atol: float = 1e-10, rtol: float = 1e-5) -> DataFrame:
+    """Per market the rows whose delivered 20-day target and the recomputed one are both present, and those that differ by more than atol + rtol x the recomputed one."""
     grid = dense_grid(bars, ["close", "forward_return_20d"])
     w = Window.partitionBy(*ENTITY).orderBy("date")
     again = F.try_divide(F.lead("close", 20).over(w), F.col("close")) - 1
     both = grid.withColumn("again", again).where("forward_return_20d IS NOT NULL AND again IS NOT NULL")
-    return both.groupBy("market").agg(F.count(F.lit(1)).alias("compared"), F.count_if(F.abs(F.col("forward_return_20d") - F.col("again")) > tolerance).alias("differ"))
+    return both.groupBy("market").agg(F.count(F.lit(1)).alias("compared"), F.count_if(F.abs(F.col("forward_return_20d") - F.col("again")) > atol + rtol * F.abs("again")).alias("differ"))
 
 
 # --- membership spells ---------------------------------------------------------
@@ -136,6 +137,7 @@ def lookahead(bars: DataFrame, factors: dict[str, Node], cuts: Sequence[date], e
     return out
 
 
+# The days after which panels are tampered with.
 CUTS = (date(2019, 6, 28), date(2022, 12, 30), date(2024, 12, 31))
 
 
@@ -177,7 +179,7 @@ QUERIES = {
     "panel_grid": lambda s, d: market_grid(s, d).select("market", "asset", "date", "close", "present", F.round("returns", 8).alias("returns"), F.round("target", 8).alias("target")),
     "panel_derived": lambda s, d: _rounded(derive(dense_grid(_bars(s, d), [c for c in FIELDS if c != "vwap"])).where("present").select("market", "asset", "date", "vwap", "return_1d", *FORWARD, F.round("adv", 2).alias("adv"), F.round("market_cap", 0).alias("market_cap")), 6),
     "panel_violations": lambda s, d: panel_violations(_bars(s, d)),
-    "target_validate": lambda s, d: target_validate(current_bars(s, d, ["forward_return_20d"]), 1e-5),
+    "target_validate": lambda s, d: target_validate(stage(current_bars(s, d, ["forward_return_20d"]), "bars")),
     "membership": lambda s, d: member_rows(_bars(s, d), _spells(s, d)).select("market", "asset", "date", "close"),
     "mining_panel": lambda s, d: mining_panel(_bars(s, d), _spells(s, d)).select("market", "asset", "date", "close"),
     "tampered_panel": lambda s, d: _rounded(tamper(_bars(s, d), CUTS[0]).select("market", "asset", "date", "close", "volume"), 6),
@@ -197,7 +199,7 @@ SQL = {
     "panel_grid": f"WITH {GRID_SQL} SELECT market, asset, date, close, present, round(returns, 8) AS returns, round(target, 8) AS target FROM grid",
     "panel_derived": f"WITH {GRID_SQL}, d AS (SELECT *, (high + low + close) / 3 AS v, close / nullif(lag(close) OVER w, 0) - 1 AS return_1d, lead(close, 1) OVER w / nullif(close, 0) - 1 AS f1, lead(close, 5) OVER w / nullif(close, 0) - 1 AS f5, lead(close, 20) OVER w / nullif(close, 0) - 1 AS f20, CASE WHEN count(volume) OVER b >= 5 THEN avg(volume) OVER b END AS adv FROM grid WINDOW w AS (PARTITION BY market, asset ORDER BY date), b AS (PARTITION BY market, asset ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT market, asset, date, {_r6('v')} AS vwap, {_r6('return_1d')} AS return_1d, {_r6('f1')} AS forward_return_1d, {_r6('f5')} AS forward_return_5d, {_r6('f20')} AS forward_return_20d, {_r6('round(adv, 2)')} AS adv, round(close * adv, 0) AS market_cap FROM d WHERE present",
     "panel_violations": f"{_CUR} SELECT count_if(market NOT IN {MARKETS}) AS unknown_market, count_if(asset IS NULL OR date IS NULL) AS missing_key, " + ", ".join(f"count_if({c} <= 0) AS {c}_not_positive" for c in PRICES) + ", count_if(high < low) AS crossed, 0 AS repeated_key FROM cur",
-    "target_validate": f"WITH {GRID_SQL}, j AS (SELECT g.market, g.target, c.forward_return_20d AS f FROM grid g JOIN cur c ON g.market = c.market AND g.asset = c.asset AND g.date = c.date) SELECT market, count(*) AS compared, count_if(abs(f - target) > 1e-5) AS differ FROM j WHERE f IS NOT NULL AND target IS NOT NULL GROUP BY market",
+    "target_validate": f"WITH {GRID_SQL}, j AS (SELECT g.market, g.target, c.forward_return_20d AS f FROM grid g JOIN cur c ON g.market = c.market AND g.asset = c.asset AND g.date = c.date) SELECT market, count(*) AS compared, count_if(abs(f - target) > 1e-10 + 1e-5 * abs(target)) AS differ FROM j WHERE f IS NOT NULL AND target IS NOT NULL GROUP BY market",
     "membership": f"{_CUR}, {_VER} SELECT market, asset, date, close FROM cur c WHERE EXISTS (SELECT 1 FROM spells p WHERE p.market = c.market AND p.asset = c.asset AND c.date BETWEEN s AND coalesce(e, DATE '9999-12-31'))",
     "mining_panel": f"{_CUR}, {_VER}, fs AS (SELECT market, min(s) AS f FROM spells GROUP BY ALL) SELECT market, asset, date, close FROM cur c WHERE EXISTS (SELECT 1 FROM spells p JOIN fs ON p.market = fs.market WHERE p.market = c.market AND p.asset = c.asset AND c.date BETWEEN CASE WHEN s <= f THEN DATE '2016-01-01' ELSE s END AND coalesce(e, DATE '9999-12-31')) AND EXISTS (SELECT 1 FROM spells p WHERE p.market = c.market AND p.asset = c.asset AND s <= DATE '2023-11-29')",
     "tampered_panel": f"{_CUR} SELECT market, asset, date, " + ", ".join(f"{_r6(f'CASE WHEN date > DATE {chr(39)}{CUTS[0]}{chr(39)} THEN {c} * {_NOISE(c)} ELSE {c} END')} AS {c}" for c in ("close", "volume")) + " FROM cur",

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgrid.plans.evaluation import _rounded, _sql
+from loomgrid.plans.evaluation import SQL as EVALUATION
+from loomgrid.plans.evaluation import _rounded, _sql, ic_table, signal_table
 from loomgrid.plans.portfolio import LONG, SHORT, TRADING_DAYS, _BM, _backtest, _returns, backtest, benchmark, composite_scores
 from loomgrid.session import stage
 from loomgrid.sources.panel import market_grid
@@ -77,11 +78,12 @@ def block_bootstrap(panel: DataFrame, stat: str = "mean", block: int = 20, draws
     return drawn.withColumn("estimate", F.lit(estimate).cast("double")).groupBy("estimate").agg(F.percentile("v", F.lit(alpha / 2)).alias("ci_low"), F.percentile("v", F.lit(1 - alpha / 2)).alias("ci_high"), ((1 + F.count_if(F.abs(F.col("v") - F.col("estimate")) >= F.abs("estimate"))) / (1 + F.count(F.lit(1)))).alias("p_value"), F.count(F.lit(1)).alias("n_boot"))
 
 
-def holm(tests: DataFrame, p: str = "p_value", by: list[str] | None = None) -> DataFrame:
-    """Adds ``p_holm``: the step-down adjusted p-value, at most 1; NULL stays NULL. A family of tests is one partition."""
-    by = by or []
+def holm(tests: DataFrame, by: list[str], p: str = "p_value") -> DataFrame:
+    """Adds ``p_holm``: the step-down adjusted p-value, at most 1; NULL stays NULL. A family of tests, ``by``, is one partition."""
+    if not by:
+        raise ValueError("name the columns of a family")
     known = tests.where(F.col(p).isNotNull())
-    family = Window.partitionBy(*(by or [F.lit(0)]))
+    family = Window.partitionBy(*by)
     line = family.orderBy(p)
     step = (F.count(F.lit(1)).over(family) - F.row_number().over(line) + 1) * F.col(p)
     adjusted = known.withColumn("_s", step).withColumn("p_holm", F.least(F.max("_s").over(line.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))).drop("_s")
@@ -95,27 +97,45 @@ def _curves(spark: SparkSession, folder: str) -> DataFrame:
     return one.unionByName(two)
 
 
-def holm_fitness(spark: SparkSession, folder: str) -> DataFrame:
-    """Candidates' rank IC tested with a normal tail bound, adjusted within each run."""
-    from loomgrid.sources.tables import table
+# The published rational approximation of the error function, good to 1.5e-7.
+ERROR_P, ERROR_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
-    rows = table(spark, folder, "fitness").dropDuplicates(["candidate_id"])
-    z = F.when(~F.isnan("rank_icir"), F.abs("rank_icir")) * F.sqrt(F.col("n_days").cast("double")) / 10
-    tests = rows.select("candidate_id", "run", F.round(F.least(F.lit(1.0), F.exp(-z * z / 2)), 10).alias("p_value"))
-    return holm(tests, by=["run"])
+
+def two_sided(t: F.Column) -> F.Column:
+    """Probability that a standard normal value is as far from 0 as ``t``."""
+    x = F.abs(t) / F.sqrt(F.lit(2.0))
+    k = 1 / (1 + ERROR_P * x)
+    series = F.lit(0.0)
+    for a in reversed(ERROR_A):
+        series = (series + a) * k
+    return F.least(series * F.exp(-x * x), F.lit(1.0))
+
+
+def holm_signals(spark: SparkSession, folder: str) -> DataFrame:
+    """Every signal's HAC t as a two-sided test, adjusted over the signals of a market and segment."""
+    rows = _rounded(ic_table(signal_table(spark, folder))).select("factor", "market", "segment", F.round(two_sided(F.col("t_hac")), 10).alias("p_value"))
+    return holm(rows, ["market", "segment"])
 
 
 QUERIES = {
     "run_panel": lambda s, d: _rounded(run_panel(_curves(s, d), benchmark(market_grid(s, d))), 7),
     "pooled_sharpe": lambda s, d: _rounded(statistic(run_panel(_curves(s, d), benchmark(market_grid(s, d))).withColumn("one", F.lit(1)), "sharpe", ["one"]), 6),
     "block_bootstrap": lambda s, d: _rounded(block_bootstrap(stage(run_panel(_curves(s, d), benchmark(market_grid(s, d))), "panel")), 6),
-    "holm": lambda s, d: _rounded(holm_fitness(s, d)),
+    "holm": lambda s, d: _rounded(holm_signals(s, d)),
 }
+_SERIES = "0.0::DOUBLE"
+for _a in reversed(ERROR_A):
+    _SERIES = f"(({_SERIES}) + {_a}::DOUBLE) * k"
 _RP = f"{_backtest(LONG)}, {_BM}"
 _SHORT = _backtest(SHORT)
 _TWO = f"lo AS (WITH {_RP} SELECT market, 0 AS seed, date, net FROM bt), sh AS (WITH {_SHORT} SELECT market, 1 AS seed, date, net FROM bt), bb AS (WITH {_RP} SELECT * FROM bm), cu AS (SELECT * FROM lo UNION ALL SELECT * FROM sh), rp AS (SELECT cu.market, seed, cu.date, net - coalesce(bench, 0.0) AS ret FROM cu LEFT JOIN bb ON cu.market = bb.market AND cu.date = bb.date)"
 SQL = {
     "run_panel": _sql(_TWO, "SELECT * FROM rp", ["ret"], ["market", "seed", "date"], 7),
     "pooled_sharpe": _sql(f"{_TWO}, a AS (SELECT market, seed, CASE WHEN max(ret) > min(ret) THEN avg(ret) / stddev_samp(ret) * sqrt(252.0::DOUBLE) END AS v FROM rp GROUP BY ALL), b AS (SELECT market, avg(v) AS v FROM a GROUP BY ALL)", "SELECT 1 AS one, avg(v) AS v FROM b", ["v"], ["one"], 6),
-    "holm": _sql("t AS (SELECT DISTINCT ON (candidate_id) candidate_id, run, round(least(1.0, exp(-pow(abs(CASE WHEN NOT isnan(rank_icir) THEN rank_icir END) * sqrt(n_days::DOUBLE) / 10, 2) / 2)), 10) AS p_value FROM fitness), o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY p_value) AS k, count(*) OVER (PARTITION BY run) AS m FROM t WHERE p_value IS NOT NULL), a AS (SELECT candidate_id, run, p_value, least(max((m - k + 1) * p_value) OVER (PARTITION BY run ORDER BY k), 1.0) AS p_holm FROM o UNION ALL SELECT candidate_id, run, p_value, NULL FROM t WHERE p_value IS NULL)", "SELECT * FROM a", ["p_value", "p_holm"], ["candidate_id", "run"]),
+    "holm": _sql(
+        f"i AS ({EVALUATION['ic_table']}), x AS (SELECT *, abs(t_hac) / sqrt(2.0::DOUBLE) AS x, 1 / (1 + {ERROR_P} * abs(t_hac) / sqrt(2.0::DOUBLE)) AS k FROM i), t AS (SELECT factor, market, segment, round(least({_SERIES} * exp(-x * x), 1.0), 10) AS p_value FROM x), o AS (SELECT *, row_number() OVER (PARTITION BY market, segment ORDER BY p_value) AS k, count(*) OVER (PARTITION BY market, segment) AS m FROM t WHERE p_value IS NOT NULL), a AS (SELECT factor, market, segment, p_value, least(max((m - k + 1) * p_value) OVER (PARTITION BY market, segment ORDER BY k), 1.0) AS p_holm FROM o UNION ALL SELECT factor, market, segment, p_value, NULL FROM t WHERE p_value IS NULL)",
+        "SELECT * FROM a",
+        ["p_value", "p_holm"],
+        ["factor", "market", "segment"],
+    ),
 }

@@ -14,7 +14,7 @@ from loomgrid.functions.stats import centred_corr, percent_rank_avg
 from loomgrid.plans.evaluation import DAILY_SQL, SEGMENT_SQL, _rounded, _sql, daily_ic, ic_table, segment_ic, signal_sql, signal_table, train_sign
 from loomgrid.plans.factors import SIGNALS
 from loomgrid.plans.redundancy import mean_corr
-from loomgrid.plans.style import LEAST, STYLES, style_panel, style_summary
+from loomgrid.plans.style import LEAST, STYLES, residuals, style_panel, style_summary
 from loomgrid.session import stage
 from loomgrid.sources.panel import DEFAULT_SPLIT, GRID_SQL, market_grid
 
@@ -55,7 +55,8 @@ def greedy_selection(pool: DataFrame, correlations: DataFrame, ceiling: float =
     """In rank order, every candidate less correlated than ``ceiling`` with all accepted ones, up to ``cap`` per market.
 
     A candidate without correlations to the pool, or with none to the accepted, is left out. The walk is sequential
-    by nature; a task holds the candidates of one market, and the pairs among them.
+    by nature; a task holds the candidates of one market and the pairs among them, some 100 bytes each, so a market may
+    have a few thousand candidates.
     """
     pairs = correlations.select("market", "f_i", "f_j", F.col("spearman").alias("c")).where("c IS NOT NULL")
     edges = pairs.unionByName(pairs.select("market", F.col("f_j").alias("f_i"), F.col("f_i").alias("f_j"), "c"))
@@ -85,13 +86,13 @@ def greedy_selection(pool: DataFrame, correlations: DataFrame, ceiling: float =
 # --- composite ---------------------------------------------------------------
 
 
-def composite(signals: DataFrame, weights: DataFrame) -> DataFrame:
+def composite(signals: DataFrame, weights: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sum of weight x sign x (percent rank - 0.5) over a market's factors; missing ones are skipped, all missing is NULL.
 
-    ``weights``: market, factor, sign, weight.
+    ``weights``: market, factor, sign, weight, and ``by``, which names portfolios where there are many; ranks are made once for all.
     """
     rows = signals.where(F.col("value").isNotNull()).withColumn("z", percent_rank_avg(F.col("value"), ["factor", "market", "date"]) - 0.5)
-    return rows.join(weights, ["market", "factor"]).groupBy("market", "asset", "date").agg(F.round(F.sum(F.col("weight") * F.col("sign") * F.col("z")), 10).alias("score"))
+    return rows.join(weights, ["market", "factor"]).groupBy(*by, "market", "asset", "date").agg(F.round(F.sum(F.col("weight") * F.col("sign") * F.col("z")), 10).alias("score"))
 
 
 def equal_weights(selected: DataFrame) -> DataFrame:
@@ -112,6 +113,8 @@ def ridge_weights(signals: DataFrame, selected: DataFrame, alphas: Sequence[floa
     outside. Validation predictions of all penalties are scored in the engine.
     """
     names = sorted(r.factor for r in selected.select("factor").distinct().collect())  # the chosen factors of a portfolio
+    if not names:
+        return equal_weights(selected)
     z = signals.where(F.col("value").isNotNull()).withColumn("z", percent_rank_avg(F.col("value"), ["factor", "market", "date"]) - 0.5)
     z = z.join(selected.select("market", "factor", "sign"), ["market", "factor"])
     wide = z.groupBy("market", "asset", "date").agg(F.max("target").alias("y"), *[F.max(F.when(F.col("factor") == n, F.col("z") * F.col("sign"))).alias(f"z{i}") for i, n in enumerate(names)])
@@ -237,7 +240,7 @@ def performance(daily: DataFrame, bench: DataFrame | None = None, by: Sequence[s
     line = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     rows = daily
     if bench is not None:
-        rows = rows.join(bench, [*by, "date"], "left").withColumn("active", F.col("net") - F.coalesce("bench", F.lit(0.0)))
+        rows = rows.join(bench, ["market", "date"], "left").withColumn("active", F.col("net") - F.coalesce("bench", F.lit(0.0)))
     for tag in ("gross", "net"):
         rows = rows.withColumn(f"_w_{tag}", F.product(1 + F.col(tag)).over(line))
         rows = rows.withColumn(f"_d_{tag}", F.col(f"_w_{tag}") / F.max(f"_w_{tag}").over(line) - 1)
@@ -255,8 +258,13 @@ def performance(daily: DataFrame, bench: DataFrame | None = None, by: Sequence[s
 # --- queries -----------------------------------------------------------------
 
 NAMES = ("momentum", "reversal", "range")
-#: Grid of the backtests: days between rebalancing, and costs in basis points.
+# The grid of the backtests. Days between rebalancing, costs in basis points, the period and cost at which the
+# other axis varies, caps on selected factors, whether only positive validation ICs are selected, weightings, and the share
+# of variance from which a residual is noise.
 REBALANCE, COSTS = (1, 5, 10, 15, 20), (0.0, 5.0, 10.0, 20.0, 50.0)
+MAIN_REBALANCE, MAIN_COST = 20, 10.0
+CAPS, GATES, WEIGHTINGS = {"full": None, "top10": 10}, {"off": False, "on": True}, ("equal", "ic", "ridge")
+NOISE_R2 = 0.999
 LONG, SHORT = Book(least=3, quantile=0.34), Book("long_short", least=2, quantile=0.34)
 
 
@@ -295,23 +303,69 @@ def composite_style(spark: SparkSession, folder: str, names: Sequence[str] = STY
     return style_summary(scores, style_panel(spark, folder), least=least, names=names)
 
 
-def backtest_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """One axis at a time: rebalancing periods at the default cost, and costs at the default period.
+def grid_weights(signals: DataFrame, table: DataFrame, related: DataFrame, least_dates: int = 50) -> DataFrame:
+    """Weights of all portfolios of the grid, named cap/gate/weighting: ``portfolio, market, factor, sign, weight, n_selected``.
 
-    Scores and curves are written once; a cost is a projection of a curve.
+    ``table`` is an IC table and ``related`` mean correlations of the validation segment, both written.
     """
-    scores, returns = stage(composite_scores(spark, folder), "scores"), stage(_returns(spark, folder), "returns")
+    signs = table.select("market", "factor", "sign").distinct()
     out = None
+    for gate, positive in GATES.items():
+        pool = stage(candidates(table, least_dates=least_dates, positive=positive), "pool")
+        for cap, most in CAPS.items():
+            chosen = stage(greedy_selection(pool, related, cap=most).join(signs, ["market", "factor"]), "chosen")
+            for name, weigh in (("equal", equal_weights), ("ic", ic_weights), ("ridge", lambda c: ridge_weights(signals, c))):
+                part = weigh(chosen).withColumn("n_selected", F.count(F.lit(1)).over(Window.partitionBy("market")))
+                part = part.select(F.lit(f"{cap}/{gate}/{name}").alias("portfolio"), "market", "factor", "sign", "weight", "n_selected")
+                out = part if out is None else out.unionByName(part)
+    return out
+
+
+def style_neutral(scores: DataFrame, styles: DataFrame, least: int, names: Sequence[str] = STYLES) -> DataFrame:
+    """Scores without their exposure to the styles, by portfolio; a portfolio that the styles explain almost wholly is left out."""
+    rows = scores.select(F.col("portfolio").alias("factor"), "market", "asset", "date", F.col("score").alias("value"), F.lit(None).cast("double").alias("target"))
+    rest, quality = residuals(rows, styles, names, least)
+    noise = quality.groupBy("factor", "market").agg(F.avg("r2").alias("r2")).where(F.col("r2") >= NOISE_R2).select("factor", "market")
+    kept = rest.join(noise, ["factor", "market"], "left_anti")
+    return kept.select(F.col("factor").alias("portfolio"), "market", "asset", "date", F.round("residual", 10).alias("score"))
+
+
+def backtest_grid(spark: SparkSession, folder: str, least_names: int = LEAST) -> DataFrame:
+    """All portfolios of caps, gates and weightings, as they are and without style exposure, over the test segment.
+
+    One axis at a time: rebalancing periods at the default cost, and costs at the default period. Signals are selected by
+    their validation ICs and correlations. All portfolios run in one plan per kind and period, in which they are rows; a cost
+    is a projection of a curve. A market without a selected factor, and a portfolio that holds nothing, say so in ``status``.
+    """
+    signals = stage(signal_table(spark, folder), "signals")
+    table = stage(ic_table(signals), "ics")
+    related = stage(mean_corr(signals, least=3).where("segment = 'valid'"), "related")
+    weights = stage(grid_weights(signals, table, related), "weights")
+    test = F.col("date").between(*map(F.lit, DEFAULT_SPLIT.test))
+    raw = stage(composite(signals.where(test), weights, ["portfolio"]), "scores")
+    neutral = style_neutral(raw, style_panel(spark, folder).where(test), least_names)
+    scores = stage(raw.withColumn("signal", F.lit("raw")).unionByName(neutral.withColumn("signal", F.lit("style_neutral"))), "scores")
+    grid = stage(market_grid(spark, folder).where(test).select("market", "asset", "date", "tradable", "returns"), "grid")
+    returns, bench = grid.select("market", "asset", "date", F.round("returns", 10).alias("ret")), benchmark(grid)
+    key = ["portfolio", "signal", "market"]
+    curves = None
     for kind, base in (("long_only", LONG), ("long_short", SHORT)):
         for r in REBALANCE:
-            book = Book(kind, base.quantile, base.least, r)
-            daily = stage(backtest(scores, returns, book), "curve")
-            for cost in COSTS if r == 20 else (10.0,):
-                net = F.col("gross") - F.col("turnover") * (cost / 1e4) - F.col("borrow_cost")
-                perf = performance(daily.withColumn("net", net)).select(F.lit(kind).alias("kind"), F.lit(r).alias("rebalance"), F.lit(cost).alias("cost_bps"), "market", "net_cagr", "net_sharpe", "turnover_annual")
-                perf = perf.withColumn("status", F.when(F.col("turnover_annual") > 0, "ok").otherwise("degenerate"))
-                out = perf if out is None else out.unionByName(perf)
-    return _rounded(out, 6)
+            daily = backtest(scores, returns, Book(kind, base.quantile, base.least, r), key)
+            daily = stage(daily.withColumns({"kind": F.lit(kind), "rebalance": F.lit(r)}), "curve")
+            curves = daily if curves is None else curves.unionByName(daily)
+    costs = F.when(F.col("rebalance") == MAIN_REBALANCE, F.array(*map(F.lit, COSTS))).otherwise(F.array(F.lit(MAIN_COST)))
+    curves = curves.withColumn("cost_bps", F.explode(costs)).withColumn("net", F.col("gross") - F.col("turnover") * (F.col("cost_bps") / 1e4) - F.col("borrow_cost"))
+    of = [*key, "kind", "rebalance", "cost_bps"]
+    active = F.when(F.col("kind") == "long_only", F.col("net_active_return")).alias("net_active_return")  # a book without net exposure has no benchmark
+    cells = stage(performance(curves, bench, of).select(*of, "net_cagr", "net_sharpe", active, "turnover_annual", "avg_gross_exposure"), "cells")
+    sizes = weights.select("portfolio", "market", "n_selected").distinct()
+    cells = cells.join(sizes, ["portfolio", "market"]).withColumn("status", F.when(F.col("avg_gross_exposure") > 0, "ok").otherwise("degenerate"))
+    named = F.explode(F.array(*[F.lit(f"{c}/{g}/{w}") for c in CAPS for g in GATES for w in WEIGHTINGS])).alias("portfolio")
+    empty = table.select("market").distinct().select("market", named).join(sizes, ["portfolio", "market"], "left_anti")
+    cells = cells.unionByName(empty.select("portfolio", "market", F.lit(0).cast("bigint").alias("n_selected"), F.lit("no qualifying composite").alias("status")), allowMissingColumns=True)
+    part = F.split("portfolio", "/")
+    return _rounded(cells.select(*[part[i].alias(n) for i, n in enumerate(("cap", "gate", "weighting"))], *[c for c in cells.columns if c != "portfolio"]), 6)
 
 
 QUERIES = {

@@ -168,7 +168,7 @@ def test_ridge_prefers_the_factor_that_predicts(spark):
 
 def test_holm(spark):
     p = [0.01, 0.04, 0.03, 0.03, None, 0.9]
-    got = {r.i: r.p_holm for r in holm(spark.createDataFrame(list(enumerate(p)), "i int, p_value double")).collect()}
+    got = {r.i: r.p_holm for r in holm(spark.createDataFrame([(i, x, "f") for i, x in enumerate(p)], "i int, p_value double, family string"), ["family"]).collect()}
     assert [got[i] for i in range(6)] == [pytest.approx(0.05), pytest.approx(0.12), pytest.approx(0.12), pytest.approx(0.12), None, pytest.approx(0.9)]
 
 
