@@ -90,7 +90,14 @@ def _p4_sql() -> str:
 SELECT row_number() OVER (ORDER BY significance, mean_rank, candidate_id) AS position, * FROM g"""
 
 
+def _p9_sql() -> str:
+    """All runs of thirteen words of both sides, joined as text."""
+    runs = lambda t, k: f"SELECT DISTINCT {k}, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i+12], ' '))) AS g FROM (SELECT {k}, list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x)) AS w FROM {t} WHERE text IS NOT NULL AND {k} IS NOT NULL) WHERE len(w) >= 13"
+    return f"WITH d AS ({runs('documents', 'doc_id')}), i AS ({runs('eval_items', 'item_id')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)"
+
+
 SQL = {
+    "p9_found": _p9_sql(),
     "p4_ranking": _p4_sql(),
     "p5_found": """WITH ok AS (SELECT DISTINCT run, factor_id FROM factor_audit WHERE status = 'ok' AND run IS NOT NULL),
   f AS (SELECT DISTINCT x.factor_id, x.train_metrics['ic'] AS ic FROM (SELECT unnest(factors) AS x FROM mining_run)),
