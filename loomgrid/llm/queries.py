@@ -7,7 +7,7 @@ from math import comb
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm.formatting import collapse
+from loomgrid.llm.formatting import collapse, copies
 from loomgrid.llm.leakage import leaks
 from loomgrid.llm.packing import pack, token_counts
 from loomgrid.llm.ranking import aggregate_ranking
@@ -33,8 +33,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_formulas(spark: SparkSession, folder: str) -> DataFrame:
     """Every distinct formula with its number of copies."""
-    found = collapse(_formulas(spark, folder), "factor_id", "type", "text")
-    return found.groupBy(F.col("first_id").alias("factor_id")).agg(F.count(F.lit(1)).alias("n_copies"))
+    return copies(_formulas(spark, folder), "factor_id", "type", "text").select(F.col("first_id").alias("factor_id"), "n_copies")
 
 
 def p4_ranking(spark: SparkSession, folder: str) -> DataFrame:
